@@ -6,8 +6,8 @@
 2. A source's target is `whole` copies of each of its documents, allocated for certain, and a rest of r words. The
    rest is a Pareto order sample: with inclusion odds p / (1 - p), p = r / source size, and random odds u / (1 - u), u from
    the digest of seed and doc_id, documents rank by random odds over inclusion odds; the sample is the longest
-   prefix of that order which fits in r words. One closing document, the unselected one whose size is nearest to the gap left,
-   is added if that brings the source nearer to its target.
+   prefix of that order which fits in r words. Then at most three closing documents, each the unselected one whose size is
+   nearest to the gap left, are added while that brings the source nearer to its target.
 
 DataFrame functions only. A source may hold a third of all rows, so no window runs over a source: documents are binned by
 their rank value (4096 bins for each source), bins are summed with map-side combining, the bin in which the prefix ends is found from
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from ebbtide.llm.common import WORD, hash_unit, materialize
 
 BINS = 4096
+#: Documents of a source that may follow the prefix to close the gap to its target.
+CLOSING = 3
 SEED = "mix-1"
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
@@ -86,9 +88,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = M
     chosen = by_source(ranked, ends, "left")
     inside = F.col("cut_bin").isNull() | (F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & F.coalesce(place <= F.col("last"), F.lit(False)))
     chosen = chosen.withColumn("fits", F.col("q").isNotNull() & inside)
-    off = F.abs(F.col("gap") - F.col("size"))
-    closing = chosen.filter(F.col("q").isNotNull() & ~F.col("fits") & (off < F.col("gap")))
-    closing = closing.groupBy("source").agg(F.min(F.struct(off.alias("off"), "q", "doc_id", "rid")).alias("m")).select("source", F.col("m.rid").alias("closing"))
-    out = by_source(chosen, materialize(closing, "mix-closing"), "left")
-    copies = F.col("whole") + F.when(F.col("fits") | F.coalesce(F.col("closing") == F.col("rid"), F.lit(False)), 1).otherwise(0)
+    closed = ends.select("source", "gap", F.array().cast("array<long>").alias("closing"))
+    for _ in range(CLOSING):
+        off = F.abs(F.col("gap") - F.col("size"))
+        free = by_source(chosen.drop("gap"), closed).filter(F.col("q").isNotNull() & ~F.col("fits") & (off < F.abs("gap")) & ~F.array_contains("closing", F.col("rid")))
+        found = free.groupBy("source").agg(F.min(F.struct(off.alias("off"), "q", "doc_id", "rid", "size")).alias("m"))
+        closed = by_source(closed, found, "left")
+        closed = closed.select("source", (F.col("gap") - F.coalesce("m.size", F.lit(0))).alias("gap"), F.concat("closing", F.when(F.col("m").isNull(), F.array().cast("array<long>")).otherwise(F.array("m.rid"))).alias("closing"))
+        closed = materialize(closed, "mix-closing")
+    out = by_source(chosen.drop("gap"), closed, "left")
+    copies = F.col("whole") + F.when(F.col("fits") | F.coalesce(F.array_contains("closing", F.col("rid")), F.lit(False)), 1).otherwise(0)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "rid")
