@@ -1,25 +1,30 @@
-"""Exact SentencePiece ids by way of distinct chunks, shared by operators 2 and 4.
+"""Exact token ids by way of distinct chunks, shared by operators 2, 3 and 4.
 
 If no piece of the vocabulary has a white-space marker after another character, no merge crosses a boundary between
 a character and a following marker. The ids of a text are then the ids of its chunks (a run of markers and the word behind it) in
-order. Each distinct chunk is segmented once for each worker by the library itself; documents become arrays of chunk numbers, and ids come
+order. Byte-level BPE with the usual pre-tokenizer never joins a blank between two words to the word before it, so there a
+chunk is a blank and the word behind it. Each distinct chunk is segmented once for each worker by the library itself; documents become arrays of chunk numbers, and ids come
 back by position with array indexing.
 
-The table is a worker's own and holds at most max_chunks entries (then it starts anew), so memory is bounded whatever the
-corpus. One table for the whole corpus would cost a shuffle of every document's words: see README for figures.
+The table is a worker's own. It holds max_chunks entries and those of one group of documents; beyond that it keeps the half that was
+used most, so memory is bounded whatever the corpus. One table for the whole corpus would cost a shuffle of every document's words: see README for figures.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 
 MARK = "▁"
-MAX_CHUNKS = 400_000
+MAX_CHUNKS = 500_000
 #: Words of documents that are turned into ids at once; bounds the arrays in between.
 GROUP_WORDS = 100_000
+#: Chunks that go to the library in one call.
+JOINED = 500
 
 
 class Model:
@@ -29,81 +34,161 @@ class Model:
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
-        pieces = (self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size()))
+        pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
+        self.opens = np.array([p.startswith(MARK) for p in pieces])
         # the normaliser must leave a text as it is but for markers: one in front, and one for each blank
         probe = "  a  \tb ﬁ́ é\n A　Ａ  "
         plain = self.sp.normalize(probe) == MARK + probe.replace(" ", MARK)
         self.by_chunk = plain and self.sp.encode("") == [] and not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
         self.mark_ids = [self.sp.piece_to_id(MARK)]
+        self.encode_text = self.sp.encode
         self.bos, self.eos = self.sp.bos_id(), self.sp.eos_id()
 
+    @staticmethod
+    def chunks(text: str) -> list[str]:
+        """Each chunk without its first marker, which the library adds again. Joined with markers in front they give the marked text."""
+        if not text:
+            return []
+        parts = text.replace(" ", MARK).split(MARK)
+        if "" in parts:  # runs of markers, or one at an end
+            return [c[1:] for c in re.findall(f"{MARK}+[^{MARK}]*", MARK + MARK.join(parts))]
+        return parts
+
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each chunk has. Many chunks go to the library as one text; each starts at a piece with a marker."""
+        ids, counts = [], []
+        for at in range(0, len(chunks), JOINED):
+            part = chunks[at : at + JOINED]
+            odd = [c for c in part if not c or MARK in c]
+            if odd:
+                for c in part:
+                    x = self.sp.encode(c, num_threads=1) if c else self.mark_ids
+                    ids.append(np.array(x, np.int32))
+                    counts.append(np.array([len(x)]))
+                continue
+            x = np.array(self.sp.encode(" ".join(part), num_threads=1), np.int32)
+            starts = np.flatnonzero(self.opens[x])
+            ids.append(x)
+            counts.append(np.diff(np.append(starts, len(x))))
+        return np.concatenate(ids), np.concatenate(counts)
+
+
+class ByteModel:
+    """A byte-level BPE of the tokenizers library, and whether chunks give its exact ids."""
+
+    def __init__(self, content: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_buffer(content)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        spec = json.loads(content)
+        # a byte-level piece has one character for each byte
+        self.n_bytes = np.zeros(self.tok.get_vocab_size(), np.int64)
+        for piece, i in self.tok.get_vocab(with_added_tokens=True).items():
+            self.n_bytes[i] = len(piece)
+        for t in spec["added_tokens"]:
+            self.n_bytes[t["id"]] = len(t["content"].encode())
+        pre, added = spec["pre_tokenizer"] or {}, spec["added_tokens"]
+        self.by_chunk = spec["normalizer"] is None and (pre.get("type"), pre.get("use_regex"), pre.get("add_prefix_space")) == ("ByteLevel", True, False)
+        self.by_chunk &= not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added)
+
+    def encode_text(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids
+
+    @staticmethod
+    def chunks(text: str) -> list[str]:
+        """Keys of the chunks: a blank's chunk without the blank; any other chunk with a blank in front, which no key of the first kind has."""
+        if re.search(r"\s\s", text):
+            parts = re.split(r"(?<=\S)(?= \S)", text)
+            return [p[1:] if p[:1] == " " and p[1:2] != " " else " " + p for p in parts]
+        parts = text.split(" ")
+        parts[0] = " " + parts[0]
+        return parts
+
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each chunk has. Chunks of a blank and a word go to the library as one text; bytes tell where each ends."""
+        ids, counts = [], []
+        for at in range(0, len(chunks), JOINED):
+            part = chunks[at : at + JOINED]
+            if any(re.search(r"^$|\s", c) for c in part):
+                texts = [c[1:] if c[:1] == " " else " " + c for c in part]
+                for e in self.tok.encode_batch_fast(texts, add_special_tokens=False):
+                    ids.append(np.array(e.ids, np.int32))
+                    counts.append(np.array([len(e.ids)]))
+                continue
+            x = np.array(self.tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.int32)
+            stops = np.cumsum([len(c.encode()) + 1 for c in part])
+            ends = np.searchsorted(np.cumsum(self.n_bytes[x]), stops) + 1
+            ids.append(x)
+            counts.append(np.diff(np.concatenate([[0], ends])))
+        return np.concatenate(ids), np.concatenate(counts)
+
 
 _models: dict[bytes, ChunkTable] = {}
 
 
-def table_for(proto: bytes) -> ChunkTable:
+def table_for(content: bytes, kind: type = Model) -> ChunkTable:
     """The worker's table for this model; it outlives a task."""
-    if proto not in _models:
+    if content not in _models:
         _models.clear()
-        _models[proto] = ChunkTable(Model(proto))
-    return _models[proto]
+        _models[content] = ChunkTable(kind(content))
+    return _models[content]
 
 
 class ChunkTable:
-    def __init__(self, model: Model, max_chunks: int = MAX_CHUNKS):
+    def __init__(self, model: Model | ByteModel, max_chunks: int = MAX_CHUNKS):
         self.model, self.max_chunks = model, max_chunks
-        self._clear()
-
-    def _clear(self) -> None:
         self.numbers: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.int32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.counts = np.zeros(1 << 14, np.int64)
+        self.hits = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        """Each chunk without its first marker, which the library adds again. Joined with markers in front they give the marked text."""
-        if not text:
-            return []
-        parts = text.replace(" ", MARK).split(MARK)
-        if "" in parts:  # runs of markers, or one at an end
-            return [c[1:] for c in re.findall(f"{MARK}+[^{MARK}]*", MARK + MARK.join(parts))]
-        return parts
-
     def _add(self, words: list[str]) -> None:
-        if len(self.numbers) + len(words) > self.max_chunks:
-            self._clear()
         n = len(self.numbers)
-        ids = self.model.sp.encode(words, num_threads=1)
-        for i, w in enumerate(words):
-            if not w:
-                ids[i] = self.model.mark_ids
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(counts.sum())
+        ids, counts = self.model.encode_chunks(words)
+        total = len(ids)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + len(words) > len(self.counts):
-            self.starts, self.counts = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.counts))
-        self.flat[self.used : self.used + total] = np.fromiter((x for y in ids for x in y), np.int32, total)
+            self.starts, self.counts, self.hits = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.counts, self.hits))
+        self.flat[self.used : self.used + total] = ids
         self.counts[n : n + len(words)] = counts
         self.starts[n : n + len(words)] = self.used + np.cumsum(counts) - counts
+        self.hits[n : n + len(words)] = 0
         self.used += total
         self.numbers.update(zip(words, range(n, n + len(words)), strict=True))
 
+    def _compact(self) -> None:
+        """Keeps the half of the entries that were used most."""
+        n, half = len(self.numbers), self.max_chunks // 2
+        keep = np.sort(np.argpartition(-self.hits[:n], half)[:half])
+        words = list(self.numbers)
+        counts, hits = self.counts[keep], self.hits[keep] // 2
+        at = np.repeat(self.starts[keep] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        self.used = len(at)
+        self.flat[: self.used] = self.flat[at]
+        self.counts[:half], self.hits[:half], self.starts[:half] = counts, hits, np.cumsum(counts) - counts
+        self.numbers = {words[i]: j for j, i in enumerate(keep.tolist())}
+
     def _numbers_of(self, words: list[str]) -> np.ndarray:
+        if len(self.numbers) >= self.max_chunks:
+            self._compact()
         missing = set(words).difference(self.numbers)
         if missing:
-            if len(self.numbers) + len(missing) > self.max_chunks:
-                missing = set(words)
-            self._add(sorted(missing))
-        return np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+            self._add(list(missing))
+        k = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        self.hits[: len(self.numbers)] += np.bincount(k, minlength=len(self.numbers))
+        return k
 
     def _groups(self, texts: Sequence[str | None]) -> Iterator[tuple[list[str], list[int]]]:
         words: list[str] = []
         sizes: list[int] = []
         for t in texts:
-            c = self.chunks(t or "")
+            c = self.model.chunks(t or "")
             words += c
             sizes.append(len(c))
             if len(words) >= GROUP_WORDS:
@@ -116,7 +201,7 @@ class ChunkTable:
         """The ids of each text, as the library's encode() gives them without begin and end."""
         if not self.model.by_chunk:
             for t in texts:
-                yield np.array(self.model.sp.encode(t or ""), np.int32)
+                yield np.array(self.model.encode_text(t or ""), np.int32)
             return
         for words, sizes in self._groups(texts):
             k = self._numbers_of(words)
@@ -132,7 +217,7 @@ class ChunkTable:
     def count(self, texts: Sequence[str | None]) -> list[int]:
         """The number of ids of each text."""
         if not self.model.by_chunk:
-            return [len(self.model.sp.encode(t or "")) for t in texts]
+            return [len(self.model.encode_text(t or "")) for t in texts]
         out: list[int] = []
         for words, sizes in self._groups(texts):
             k = self._numbers_of(words)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbtide.llm import mixing, sentencepieces, sharding, token_counts
+from ebbtide.llm import mixing, repair, sentencepieces, sharding, token_counts
 from ebbtide.llm.common import docs_table, fresh_path
 
 #: Production parameters.
@@ -23,6 +23,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_pieces(docs_table(spark, sf_dir), vocabulary("piece_bpe_32k.model"), with_ids=False, with_decoded=False)
 
 
+def op3_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "ids")
+    repair.write_ids(docs_table(spark, sf_dir), vocabulary("byte_bpe_50k.json"), path)
+    return repair.read_ids(spark, path, with_ids=False)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a cache of its own that starts empty, so that a run never lives off an earlier one."""
     return token_counts.count_tokens(docs_table(spark, sf_dir), vocabulary("piece_bpe_32k.model"), fresh_path(spark, "count-cache"))
@@ -38,6 +44,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_repair_ids": op3_repair_ids,
     "op4_token_counts": op4_token_counts,
     "op7_rendezvous_sharding": op7_rendezvous_sharding,
     "op10_source_mixing": op10_source_mixing,
