@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbtide.llm import mixing, repair, sentencepieces, sharding, token_counts
+from ebbtide.llm import mixing, quality, repair, sentencepieces, sharding, token_counts, toxicity
 from ebbtide.llm.common import docs_table, fresh_path
 
 #: Production parameters.
@@ -34,6 +34,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs_table(spark, sf_dir), vocabulary("piece_bpe_32k.model"), fresh_path(spark, "count-cache"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(docs_table(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(docs_table(spark, sf_dir))
+
+
 def op7_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(docs_table(spark, sf_dir), [1.0] * SHARDS)
 
@@ -46,6 +54,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_repair_ids": op3_repair_ids,
     "op4_token_counts": op4_token_counts,
+    "op5_toxicity": op5_toxicity,
+    "op6_quality_rules": op6_quality_rules,
     "op7_rendezvous_sharding": op7_rendezvous_sharding,
     "op10_source_mixing": op10_source_mixing,
 }
