@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbtide.llm import mixing, quality, repair, sentencepieces, sharding, token_counts, toxicity
+from ebbtide.llm import mixing, pii, quality, repair, sentencepieces, sharding, token_counts, toxicity
 from ebbtide.llm.common import docs_table, fresh_path
 
 #: Production parameters.
@@ -46,6 +46,10 @@ def op7_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(docs_table(spark, sf_dir), [1.0] * SHARDS)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(docs_table(spark, sf_dir))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs_table(spark, sf_dir)).drop("rid")
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_rendezvous_sharding": op7_rendezvous_sharding,
+    "op8_pii": op8_pii,
     "op10_source_mixing": op10_source_mixing,
 }
 
