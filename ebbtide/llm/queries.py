@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbtide.llm import mixing, pii, quality, repair, sentencepieces, sharding, token_counts, toxicity
+from ebbtide.llm import jaccard, mixing, pii, quality, repair, sentencepieces, sharding, token_counts, toxicity
 from ebbtide.llm.common import docs_table, fresh_path
 
 #: Production parameters.
@@ -50,6 +50,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(docs_table(spark, sf_dir))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(docs_table(spark, sf_dir), width=4, percent=85)
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs_table(spark, sf_dir)).drop("rid")
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_rendezvous_sharding": op7_rendezvous_sharding,
     "op8_pii": op8_pii,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_source_mixing": op10_source_mixing,
 }
 
