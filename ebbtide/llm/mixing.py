@@ -99,3 +99,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = M
     out = by_source(chosen.drop("gap"), closed, "left")
     copies = F.col("whole") + F.when(F.col("fits") | F.coalesce(F.array_contains("closing", F.col("rid")), F.lit(False)), 1).otherwise(0)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "rid")
+
+
+def repeat_rows(docs: DataFrame, **options) -> DataFrame:
+    """docs with each row as often as the mix takes it. By id: rows that share an id or have none are taken as often as the most taken one of them."""
+    doc_id = options.get("doc_id", "doc_id")
+    copies = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("mix_copies")).withColumnRenamed("doc_id", "mix_id")
+    rows = docs.join(copies, F.col(doc_id).eqNullSafe(F.col("mix_id")))
+    each = rows.withColumn("mix_each", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies").cast("int"))))
+    return each.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ebbtide.llm import jaccard, mixing, pii, quality, repair, sentencepieces, sharding, token_counts, toxicity
+from ebbtide.llm import hamming, jaccard, mixing, pii, quality, repair, sentencepieces, sharding, token_counts, toxicity
 from ebbtide.llm.common import docs_table, fresh_path
 
 #: Production parameters.
@@ -19,6 +20,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 rows of nearest sign codes for every row whose id is divisible by 100, itself included."""
+    codes = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", hamming.sign_code(F.col("embedding")).alias("code"))
+    return hamming.top_k(codes, codes.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_pieces(docs_table(spark, sf_dir), vocabulary("piece_bpe_32k.model"), with_ids=False, with_decoded=False)
 
@@ -59,6 +66,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hamming_topk": op1_hamming_topk,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_repair_ids": op3_repair_ids,
     "op4_token_counts": op4_token_counts,
@@ -70,4 +78,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mixing": op10_source_mixing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_hamming_topk": """
+        WITH signs AS (SELECT vec_id, list_transform(embedding, x -> x > 0) AS s FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+        pairs AS (
+            SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(range(1, 65), i -> (q.s[i] <> d.s[i])::INT))::INT AS distance
+            FROM signs q, signs d WHERE q.vec_id % 100 = 0),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM pairs)
+        SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10""",
+}
