@@ -54,13 +54,17 @@ class Model:
             return [c[1:] for c in re.findall(f"{MARK}+[^{MARK}]*", MARK + MARK.join(parts))]
         return parts
 
+    @staticmethod
+    def odd(chunk: str) -> bool:
+        """Must go to the library alone."""
+        return not chunk or MARK in chunk
+
     def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each chunk has. Many chunks go to the library as one text; each starts at a piece with a marker."""
         ids, counts = [], []
         for at in range(0, len(chunks), JOINED):
             part = chunks[at : at + JOINED]
-            odd = [c for c in part if not c or MARK in c]
-            if odd:
+            if any(map(self.odd, part)):
                 for c in part:
                     x = self.sp.encode(c, num_threads=1) if c else self.mark_ids
                     ids.append(np.array(x, np.int32))
@@ -73,6 +77,11 @@ class Model:
         return np.concatenate(ids), np.concatenate(counts)
 
 
+#: Marks a chunk without a blank in front.
+BARE = "\x01"
+_unplain = re.compile(r"(?:\W|_|^)[.,]\s")
+
+
 class ByteModel:
     """A byte-level BPE of the tokenizers library, and whether chunks give its exact ids."""
 
@@ -99,21 +108,32 @@ class ByteModel:
 
     @staticmethod
     def chunks(text: str) -> list[str]:
-        """Keys of the chunks: a blank's chunk without the blank; any other chunk with a blank in front, which no key of the first kind has."""
-        if re.search(r"\s\s", text):
+        """Keys of the chunks: without a mark for a blank and what follows; text behind BARE for a chunk without a blank.
+
+        A single line end between other characters is a pre-token of its own, and so are a full stop or comma between a letter or digit and
+        white space: splitting there too leaves far fewer distinct chunks. Where white space or punctuation is less plain, only blanks between
+        other characters split."""
+        if BARE in text or re.search(r"\s\s", text):
             parts = re.split(r"(?<=\S)(?= \S)", text)
-            return [p[1:] if p[:1] == " " and p[1:2] != " " else " " + p for p in parts]
-        parts = text.split(" ")
-        parts[0] = " " + parts[0]
+            return [p[1:] if p[:1] == " " and p[1:2] not in (" ", BARE) else BARE + p for p in parts]
+        if not _unplain.search(text):
+            text = text.replace(", ", f" {BARE}, ").replace(". ", f" {BARE}. ").replace(",\n", f" {BARE},\n").replace(".\n", f" {BARE}.\n")
+        parts = text.replace("\n", f" {BARE}\n {BARE}").split(" ")
+        parts[0] = BARE + parts[0]
         return parts
 
+    @staticmethod
+    def odd(chunk: str) -> bool:
+        """Must go to the library alone."""
+        return chunk[:1] == BARE or not chunk or re.search(r"\s", chunk) is not None
+
     def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each chunk has. Chunks of a blank and a word go to the library as one text; bytes tell where each ends."""
         ids, counts = [], []
         for at in range(0, len(chunks), JOINED):
             part = chunks[at : at + JOINED]
-            if any(re.search(r"^$|\s", c) for c in part):
-                texts = [c[1:] if c[:1] == " " else " " + c for c in part]
+            if any(map(self.odd, part)):
+                texts = [c[1:] if c[:1] == BARE else " " + c for c in part]
                 for e in self.tok.encode_batch_fast(texts, add_special_tokens=False):
                     ids.append(np.array(e.ids, np.int32))
                     counts.append(np.array([len(e.ids)]))
@@ -179,7 +199,7 @@ class ChunkTable:
             self._compact()
         missing = set(words).difference(self.numbers)
         if missing:
-            self._add(list(missing))
+            self._add(sorted(missing, key=self.model.odd))
         k = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
         self.hits[: len(self.numbers)] += np.bincount(k, minlength=len(self.numbers))
         return k
