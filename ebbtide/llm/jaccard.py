@@ -31,58 +31,94 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import map_arrow, materialize
+from ebbtide.llm.common import fresh_path, map_arrow, materialize, remove_path
 from ebbtide.llm.components import components
 
 SIGNATURE_BITS = 1024
 HOT_BITS = 22
 #: A shingle is reported by a task with so many documents that share it, and hot with so many in all.
 LOCAL, HOT = 3, 24
-MAX_WORDS_KNOWN = 500_000
+#: Up to so many node ids are sent to all executors to pick texts; beyond that the texts are shuffled.
+SENT_NODES = 500_000
 _factors = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
+def _finish(h: np.ndarray, salt: int = 0) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * salt)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+_BASE = 0x9E3779B97F4A7C15
+_space = np.zeros(256, bool)
+_space[[0x20, *range(0x09, 0x0E)]] = True
+#: A 64-bit value for each byte; capitals A-Z have those of a-z, white space none.
+_value = _finish((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(_BASE))
+_value[65:91] = _value[97:123]
+_value[_space] = 0
+
+
 class Shingler:
-    """Sets of 64-bit shingle hashes of texts."""
+    """Sets of 64-bit shingle hashes of texts, many texts at once.
+
+    A word's hash is a polynomial in its bytes' values, taken from running sums over the whole buffer (no loop over words), and mixed with
+    its length; a shingle's is a sum of its words' hashes with a factor for each place, mixed again."""
+
+    GROUP_BYTES = 1 << 20
 
     def __init__(self, width: int):
         if not 1 <= width <= len(_factors):
             raise ValueError(f"width must be 1 to {len(_factors)}")
-        self.width, self.known = width, {}
-
-    def _hashes(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
+        self.width = width
+        self.up = self.down = np.ones(1, np.uint64)
 
-        if len(self.known) > MAX_WORDS_KNOWN:
-            self.known.clear()
-        missing = set(words).difference(self.known)
-        digest = xxhash.xxh3_64_intdigest
-        self.known.update((w, digest(w)) for w in missing)
-        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+    def _powers(self, n: int) -> None:
+        if len(self.up) < n:
+            n = max(n, 2 * self.GROUP_BYTES)
+            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+                x = np.full(n, base, np.uint64)
+                x[0] = 1
+                setattr(self, name, np.cumprod(x))
 
     def _mix(self, parts: list[np.ndarray]) -> np.ndarray:
         h = parts[0] * _factors[0]
         for x, f in zip(parts[1:], _factors[1:]):
-            h += x * f
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xBF58476D1CE4E5B9) + np.uint64(2 * len(parts))
-        return h ^ (h >> np.uint64(29))
+            h = h + x * f
+        return _finish(h, len(parts))
+
+    def _group(self, raws: list[bytes]):
+        data = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
+        self._powers(len(data))
+        solid = ~_space[data]
+        edge = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+        if solid[0]:
+            edge = np.concatenate([[0], edge])
+        starts, ends = edge[::2], edge[1::2]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_value[data] * self.up[: len(data)])])
+        words = _finish((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * _factors[1])
+        k, n = self.width, len(words)
+        full = self._mix([words[i : n - k + 1 + i] for i in range(k)]) if n >= k else np.zeros(0, np.uint64)
+        lengths = np.array([len(r) + 1 for r in raws])
+        first = np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)])).tolist()
+        for i, j in zip(first, first[1:]):
+            m = j - i
+            if m >= k:
+                x = np.sort(full[i : j - k + 1])
+                yield x[np.concatenate([[True], x[1:] != x[:-1]])]
+            else:
+                yield self._mix([words[i + t : i + t + 1] for t in range(m)]) if m else np.zeros(0, np.uint64)
 
     def sets(self, texts: list[str | None]):
         """The sorted set of each text."""
-        for at in range(0, len(texts), 128):
-            words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts[at : at + 128]]
-            h = self._hashes([w for ws in words for w in ws])
-            k, n = self.width, len(h)
-            full = self._mix([h[i : n - k + 1 + i] for i in range(k)]) if n >= k else np.zeros(0, np.uint64)
-            start = 0
-            for ws in words:
-                m = len(ws)
-                if m >= k:
-                    yield np.unique(full[start : start + m - k + 1])
-                else:
-                    yield self._mix([h[start + i : start + i + 1] for i in range(m)]) if m else np.zeros(0, np.uint64)
-                start += m
+        held, size = [], 0
+        for t in texts:
+            held.append((t or "").encode("utf-8", "surrogatepass"))
+            size += len(held[-1])
+            if size >= self.GROUP_BYTES:
+                yield from self._group(held)
+                held, size = [], 0
+        if held:
+            yield from self._group(held)
 
 
 def _slot(s: np.ndarray) -> np.ndarray:
@@ -151,8 +187,10 @@ def _sets(docs: DataFrame, width: int, percent: int, hot: np.ndarray) -> DataFra
 
 
 def _arrays(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node, items: the sorted sets of these nodes (columns node, rep, digest), made again from the texts."""
-    needed = docs.join(nodes.select("node", "rep", F.col("digest").alias("want")), F.col("doc_id") == F.col("rep")).select("node", "want", "text")
+    """node, items: the sorted sets of these nodes (columns node, rep, digest), made again from the texts; a node more than once if its document is."""
+    picked = nodes.select("node", "rep", F.col("digest").alias("want"))
+    picked = F.broadcast(picked) if picked.count() <= SENT_NODES else picked
+    needed = docs.join(picked, F.col("doc_id") == F.col("rep")).select("node", "want", "text")
 
     def make():
         shingler = Shingler(width)
@@ -171,7 +209,7 @@ def _arrays(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
         return run
 
-    return map_arrow(needed, make, "node long, items array<long>").dropDuplicates(["node"])
+    return map_arrow(needed, make, "node long, items array<long>")
 
 
 def _similar(a: Column, b: Column, both: Column, percent: int) -> Column:
@@ -185,7 +223,11 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, perc
     close = pairs.join(a, "a").join(b, "b").filter(_similar(F.col("n_a"), F.col("n_b"), F.floor((F.col("n_a") + F.col("n_b") - xor) / 2), percent))
     close = materialize(close.select("a", "b", "n_a", "n_b"), "jaccard-close")
     ids = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
-    arrays = materialize(_arrays(docs, nodes.join(ids, "node", "left_semi").select("node", "rep", "digest"), width), "jaccard-arrays")
+    wanted = materialize(nodes.join(ids, "node", "left_semi").select("node", "rep", "digest"), "jaccard-wanted")
+    spark = docs.sparkSession
+    place = fresh_path(spark, "jaccard-arrays")
+    _arrays(docs, wanted, width).write.parquet(place)
+    arrays = spark.read.schema("node long, items array<long>").parquet(place)
     left, right = (arrays.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
     rows = close.join(left, "a").join(right, "b").select("a", "b", "items_a", "items_b")
 
@@ -202,26 +244,35 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, perc
 
         return run
 
-    return map_arrow(rows, make, "a long, b long, both long, n_a long, n_b long").filter(_similar(F.col("n_a"), F.col("n_b"), F.col("both"), percent)).select("a", "b")
+    checked = map_arrow(rows, make, "a long, b long, both long, n_a long, n_b long").filter(_similar(F.col("n_a"), F.col("n_b"), F.col("both"), percent))
+    links = materialize(checked.select("a", "b"), "jaccard-links")
+    remove_path(spark, place)
+    return links
 
 
 def jaccard_components(docs: DataFrame, width: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sets = materialize(_sets(docs, width, percent, hot_filter(docs, width)), "jaccard-sets")
-    linked = sets.filter("n > 0 and doc_id is not null")
+    spark = docs.sparkSession
+    place = fresh_path(spark, "jaccard-sets")
+    made = _sets(docs, width, percent, hot_filter(docs, width))
+    made.write.parquet(place)
+    wide = spark.read.schema(made.schema).parquet(place)
+    linked = wide.filter("n > 0 and doc_id is not null")
     nodes = linked.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
+    sets = materialize(wide.select("doc_id", "n", "digest"), "jaccard-sets")
+    remove_path(spark, place)  # all further steps read nodes and the narrow table
     # sizes x and y can link only if they are in one band or in neighbouring ones
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(percent / 100) * 1.0000001)).cast("int")
-    rows = nodes.select("node", "n", band.alias("band"), F.explode("prefix").alias("shingle"))
-    tiles = rows.groupBy("shingle").agg(F.count("*").alias("members"), F.min("band").alias("low"), F.max("band").alias("high"))
+    rows = nodes.select("node", F.col("n").cast("int").alias("n"), band.alias("band"), F.explode("prefix").alias("shingle"))
+    tiles = rows.groupBy("shingle").agg(F.count("*").cast("int").alias("members"))
     tiles = tiles.filter("members > 1").select(F.col("shingle").alias("s"))
     rows = materialize(rows.join(tiles, F.col("shingle") == F.col("s")).select("shingle", "band", "node", "n"), "jaccard-tiles")
     fits = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
     first = rows.groupBy("shingle", "band").agg(F.min(F.struct("node", "n")).alias("p")).select(F.col("shingle").alias("s"), F.col("band").alias("t"), F.col("p.node").alias("a"), F.col("p.n").alias("m"))
     stars = rows.join(first, (F.col("shingle") == F.col("s")) & (F.col("band") == F.col("t"))).filter((F.col("node") != F.col("a")) & fits(F.col("n"), F.col("m")))
-    links = materialize(_links(materialize(stars.select("a", F.col("node").alias("b")).distinct(), "jaccard-pairs"), nodes, docs, width, percent), "jaccard-links")
+    links = _links(materialize(stars.select("a", F.col("node").alias("b")).distinct(), "jaccard-pairs"), nodes, docs, width, percent)
     found = components(links)
     # nodes of one shingle in different components
     placed = rows.join(found.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").select("shingle", "band", "node", "n", F.coalesce("root", "node").alias("root"))
