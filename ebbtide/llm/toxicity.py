@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from ebbtide.llm.common import fold_of, map_arrow, materialize, text_of
 
 #: Bound of the labelled sample that examples are drawn from, and of the terms.
-EXAMPLES = 20_000
-TERMS = 1024
+EXAMPLES = 10_000
+TERMS = 768
 #: Terms by count in toxic examples that are looked at.
 CANDIDATES = 20_000
 #: Least toxic examples with a term, and least z score.
@@ -154,40 +154,39 @@ class Index:
         self.rank = np.argsort(np.argsort(np.array(self.ids), kind="stable")) if vectors else np.zeros(0, int)
         self.blocks = -(-len(vectors) // BLOCK)
         n = len(self.idf) + 1
-        post: list[list] = [[] for _ in range(n * self.blocks)]
-        self.most = np.zeros((n, self.blocks))
+        # postings of a term, block by block; a block's are dense, so that many terms and blocks are added at once
+        self.postings = np.zeros((n, self.blocks, BLOCK))
         for i, (_, _, t, w) in enumerate(vectors):
-            b = i // BLOCK
-            for x, y in zip(t.tolist(), w.tolist(), strict=True):
-                post[x * self.blocks + b].append((i % BLOCK, y))
-            self.most[t, b] = np.maximum(self.most[t, b], w)
-        sizes = np.array([len(p) for p in post], np.int64)
-        self.start = np.concatenate([[0], np.cumsum(sizes)])
-        self.where = np.array([x for p in post for x, _ in p], np.int64)
-        self.value = np.array([y for p in post for _, y in p])
+            self.postings[t, i // BLOCK, i % BLOCK] = w
+        self.most = self.postings.max(axis=2) if self.blocks else np.zeros((n, 0))
 
     def search(self, t: np.ndarray, w: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The k best (cosine, position), exactly; ties go to the lower id."""
+        """The k best (cosine, position), exactly; ties go to the lower id. First the blocks of the highest bounds are scored, then those
+        others whose bound reaches the k-th cosine found so far."""
         if not self.blocks:
             return []
         bounds = w @ self.most[t]
-        best: list[tuple[float, int, int]] = []  # (-cosine, rank of the id, position)
-        pairs = list(zip(t.tolist(), w.tolist(), strict=True))
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if len(best) == k and bounds[b] < -best[-1][0] - 1e-9:
-                break
-            got = np.zeros(min(BLOCK, len(self.ids) - b * BLOCK))
-            for x, y in pairs:
-                s, e = self.start[x * self.blocks + b], self.start[x * self.blocks + b + 1]
-                if s < e:
-                    got[self.where[s:e]] += y * self.value[s:e]
-            least = -best[-1][0] if len(best) == k else -1.0
-            at = np.flatnonzero(got >= least - 1e-12)
-            if len(at):
-                best += [(-round(float(got[i]), 12), int(self.rank[b * BLOCK + i]), b * BLOCK + int(i)) for i in at]
-                best.sort()
-                del best[k:]
-        return [(-c, i) for c, _, i in best]
+        order = np.argsort(-bounds, kind="stable")
+        lead = order[: 2 + k // BLOCK]
+        cosines, at = self._score(t, w, lead)
+        least = np.partition(cosines, -k)[-k] if len(cosines) >= k else -1.0
+        more = order[len(lead) :]
+        more = more[bounds[more] >= least - 1e-9]
+        if len(more):
+            c, p = self._score(t, w, more)
+            cosines, at = np.concatenate([cosines, c]), np.concatenate([at, p])
+        if len(at) > k:
+            keep = cosines >= np.partition(cosines, -k)[-k] - 1e-9
+            cosines, at = cosines[keep], at[keep]
+        best = sorted((-round(c, 12), r, p) for c, r, p in zip(cosines.tolist(), self.rank[at].tolist(), at.tolist(), strict=True))[:k]
+        return [(-c, p) for c, _, p in best]
+
+    def _score(self, t: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and positions of all examples of these blocks."""
+        c = np.tensordot(w, self.postings[t[:, None], blocks], 1).ravel()
+        at = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        real = at < len(self.ids)
+        return c[real], at[real]
 
     def vote(self, found: list[tuple[float, int]]) -> float:
         w = [1 / (1 - min(c, 1.0) + NEAR) for c, _ in found]
