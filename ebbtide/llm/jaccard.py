@@ -4,7 +4,7 @@ Method: size-banded tiles, hashed bitmap signatures whose bit counts bound the o
 
 1. Hot shingles. Tasks report shingles that several of their documents share; those frequent overall mark the bits of a filter of fixed
    size. It only decides an order of shingles (cold before hot, then by hash); any order gives the same links.
-2. Sets. One row a document: set size, digest of the sorted set, a bitmap of 1024 hashed bits, and the first
+2. Sets. One row a document: set size, digest of the sorted set, a bitmap of 2048 hashed bits (each the parity of its shingles, so that large sets don't fill it), and the first
    n - ceil(t n) + 1 shingles in that order. Two sets with similarity t or more share one of those. Documents with equal sets become one
    node (sums before the shuffle: copies cost nothing further).
 3. Tiles. A tile is a shared shingle and a size band (a band ends where a set can no longer link to its first size). In each tile all
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ebbtide.llm.common import fresh_path, map_arrow, materialize, remove_path
 from ebbtide.llm.components import components
 
-SIGNATURE_BITS = 1024
+SIGNATURE_BITS = 2048
 HOT_BITS = 22
 #: A shingle is reported by a task with so many documents that share it, and hot with so many in all.
 LOCAL, HOT = 3, 24
@@ -166,11 +166,10 @@ def _sets(docs: DataFrame, width: int, percent: int, hot: np.ndarray) -> DataFra
                 for s in shingler.sets(part.column(1).to_pylist()):
                     late = flags[_slot(s)]
                     order = np.concatenate([s[~late], s[late]])
-                    mark = np.zeros(SIGNATURE_BITS, bool)
-                    mark[(s & np.uint64(SIGNATURE_BITS - 1)).astype(np.int64)] = True
+                    mark = np.bincount((s & np.uint64(SIGNATURE_BITS - 1)).astype(np.int64), minlength=SIGNATURE_BITS) & 1
                     n.append(len(s))
                     digests.append(hashlib.md5(s.tobytes()).digest())
-                    bits.append(np.packbits(mark).view(np.int64))
+                    bits.append(np.packbits(mark.astype(bool)).view(np.int64))
                     prefixes.append(order[: len(s) - (percent * len(s) + 99) // 100 + 1].view(np.int64) if len(s) else order.view(np.int64))
                 offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
                 words = SIGNATURE_BITS // 64

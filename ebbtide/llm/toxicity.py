@@ -129,6 +129,19 @@ def vectors_of(docs: DataFrame, terms: list[str]) -> DataFrame:
     return map_arrow(docs, make, "doc_id long, terms array<int>, counts array<int>, n_words long")
 
 
+def _frequencies(vectors: DataFrame) -> DataFrame:
+    """term, n: in how many documents; summed by task first, so at most TERMS rows a batch leave it."""
+
+    def make():
+        def run(b: pa.RecordBatch):
+            values, counts = np.unique(b.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int32)), pa.array(counts.astype(np.int64))], ["term", "n"])
+
+        return run
+
+    return map_arrow(vectors.select("terms"), make, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
 @dataclass
 class Index:
     """Block-max inverted index over unit vectors. Term len(idf) stands for the length of the text."""
@@ -234,7 +247,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     vocabulary = choose_terms(sample, terms)
     vectors = materialize(vectors_of(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)), vocabulary), "toxic-vectors")
     total = vectors.count()
-    frequency = {r.term: r["count"] for r in vectors.select(F.explode("terms").alias("term")).groupBy("term").count().collect()}
+    frequency = {r.term: r.n for r in _frequencies(vectors).collect()}
     idf = np.array([math.log((total + 1) / (frequency.get(i, 0) + 1)) + 1e-6 for i in range(len(vocabulary))])
     rows = [tuple(r) for r in vectors_of(sample.select("doc_id", "text"), vocabulary).join(sample.select(F.col("doc_id").alias("d"), "toxic").distinct(), F.col("doc_id") == F.col("d")).select("doc_id", "toxic", "terms", "counts", "n_words").collect()]
     rows = sorted({r[0]: r for r in sorted(rows, key=str)}.values())
