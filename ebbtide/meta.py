@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMAS = {
@@ -51,3 +51,17 @@ def qualified(name: str) -> str:
 def split_name(name: str) -> tuple[str, str]:
     schema, _, table = qualified(name).partition(".")
     return schema, table
+
+
+def frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Driver-side rows as a local relation, whose size the optimizer knows: joins with small ones are broadcast."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    kind = _parse_datatype_string(schema)
+    if not rows:
+        return spark.createDataFrame([], kind)
+    fields = to_arrow_schema(kind)
+    columns = [pa.array([list(v.items()) if isinstance(v, dict) else v for v in c], f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=fields), kind)
