@@ -56,29 +56,42 @@ def _columns_at(catalog: Catalog, wanted: DataFrame, shift: int) -> DataFrame:
     return wanted.join(c, F.col("table_id") == F.col("tid")).filter(alive_at(F.col("snapshot_id") + F.lit(shift))).drop("tid", "begin_snapshot", "end_snapshot")
 
 
-def _depth(columns: DataFrame) -> DataFrame:
-    """columns (of one or more snapshots) with their nesting depth; as many joins as the deepest nesting has levels."""
-    out = columns.withColumn("depth", F.when(F.col("parent_column").isNull(), 0))
-    parents = columns.select(F.col("snapshot_id").alias("ps"), F.col("table_id").alias("pt"), F.col("column_id").alias("pc"), F.col("parent_column").alias("pp")).distinct()
-    out = out.withColumn("up", F.col("parent_column")).withColumn("level", F.lit(0))
-    for level in range(1, MAX_DEPTH + 1):
-        if out.filter("up is not null").isEmpty():
+def _depths(catalog: Catalog) -> DataFrame:
+    """dt, dc, depth: how deep each column is nested (a column's parent never changes); one small join for each level there is."""
+    c = catalog.columns.select(F.col("table_id").alias("dt"), F.col("column_id").alias("dc"), "parent_column").distinct()
+    out = level = c.filter("parent_column is null").select("dt", "dc", F.lit(0).alias("depth"))
+    nested = c.filter("parent_column is not null")
+    for _ in range(MAX_DEPTH if not nested.isEmpty() else 0):
+        up = level.select(F.col("dt").alias("ut"), F.col("dc").alias("uc"), F.col("depth").alias("ud"))
+        level = nested.join(up, (F.col("dt") == F.col("ut")) & (F.col("parent_column") == F.col("uc"))).select("dt", "dc", (F.col("ud") + 1).alias("depth"))
+        if level.isEmpty():
             break
-        out = out.join(parents, (F.col("snapshot_id") == F.col("ps")) & (F.col("table_id") == F.col("pt")) & (F.col("up") == F.col("pc")), "left")
-        out = out.withColumn("depth", F.when(F.col("up").isNotNull(), F.lit(level)).otherwise(F.col("depth"))).withColumn("up", F.col("pp")).drop("ps", "pt", "pc", "pp")
-    return out.drop("up", "level").withColumn("depth", F.coalesce("depth", F.lit(MAX_DEPTH)))
+        out = out.unionByName(level)
+    return out
 
 
-def column_diffs(catalog: Catalog, wanted: DataFrame) -> DataFrame:
-    """One row for each way in which a column differs between snapshot_id - 1 and snapshot_id, for tables whose columns changed there.
+def _depth(columns: DataFrame, catalog: Catalog) -> DataFrame:
+    """columns with their nesting depth."""
+    out = columns.join(_depths(catalog), (F.col("table_id") == F.col("dt")) & (F.col("column_id") == F.col("dc")), "left")
+    return out.drop("dt", "dc").withColumn("depth", F.coalesce("depth", F.lit(MAX_DEPTH)))
 
-    wanted: snapshot_id, table_id. A column that changed in several ways gives several rows."""
-    v = catalog.schema_versions.select(F.col("table_id").alias("vt"), F.col("begin_snapshot").alias("vs")).distinct()
-    wanted = wanted.select("snapshot_id", "table_id").distinct().join(v, (F.col("table_id") == F.col("vt")) & (F.col("snapshot_id") == F.col("vs")), "left_semi")
+
+def _first_snapshots(catalog: Catalog) -> DataFrame:
+    """snapshot_id, table_id: where each table was created."""
+    return catalog.tables.groupBy("table_id").agg(F.min("begin_snapshot").alias("snapshot_id"))
+
+
+def column_diffs(catalog: Catalog, lo: int, hi: int) -> DataFrame:
+    """One row for each way in which a column differs between snapshot_id - 1 and snapshot_id, for existing tables whose columns changed in the range.
+
+    A column that changed in several ways gives several rows. Which tables changed is known from the schema versions alone, so the plan does
+    not repeat that of the events."""
+    wanted = catalog.schema_versions.select(F.col("begin_snapshot").alias("snapshot_id"), "table_id").filter(F.col("snapshot_id").between(lo, hi)).distinct()
+    wanted = wanted.join(_first_snapshots(catalog), ["snapshot_id", "table_id"], "left_anti")
     names = {"column_name": "name", "column_type": "type", "default_value": "default", "nulls_allowed": "nullable", "parent_column": "parent", "column_order": "order", "depth": "depth"}
 
     def side(shift: int, tag: str) -> DataFrame:
-        c = _depth(_columns_at(catalog, wanted, shift))
+        c = _depth(_columns_at(catalog, wanted, shift), catalog)
         return c.select(F.col("snapshot_id").alias(f"{tag}_s"), F.col("table_id").alias(f"{tag}_t"), F.col("column_id").alias(f"{tag}_c"), *[F.col(k).alias(f"{tag}_{n}") for k, n in names.items()])
 
     old, new = side(-1, "old"), side(0, "new")
@@ -99,8 +112,8 @@ def column_diffs(catalog: Catalog, wanted: DataFrame) -> DataFrame:
     return out.withColumn("kind_rank", rank).withColumn("within", within)
 
 
-def _created_details(catalog: Catalog, wanted: DataFrame) -> DataFrame:
-    c = _columns_at(catalog, wanted, 0)
+def _created_details(catalog: Catalog, lo: int, hi: int) -> DataFrame:
+    c = _columns_at(catalog, _first_snapshots(catalog).filter(F.col("snapshot_id").between(lo, hi)), 0)
     item = _with_parent(F.col("parent_column"), F.col("column_id").alias("id"), F.col("column_order").alias("order"), F.col("column_name").alias("name"), F.col("column_type").alias("type"), F.col("nulls_allowed").alias("nullable"), F.col("default_value").alias("default"))
     rows = c.groupBy("snapshot_id", "table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("column_order", "column_id", item.alias("j")))), lambda x: x["j"]), ",").alias("items"))
     return rows.select(F.col("snapshot_id").alias("ds"), F.col("table_id").alias("dt"), F.concat(F.lit('{"columns":['), "items", F.lit("]}")).alias("created_details"))
@@ -117,8 +130,8 @@ def _diff_item() -> Column:
     )
 
 
-def _altered_details(catalog: Catalog, wanted: DataFrame) -> DataFrame:
-    d = column_diffs(catalog, wanted).withColumn("item", _diff_item())
+def _altered_details(catalog: Catalog, lo: int, hi: int) -> DataFrame:
+    d = column_diffs(catalog, lo, hi).withColumn("item", _diff_item())
     groups = d.groupBy("snapshot_id", "table_id", "kind_rank", "change_kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("within", "column_id", "item"))), lambda x: x["item"]), ",").alias("items"))
     groups = groups.withColumn("text", F.concat(F.lit('"'), "change_kind", F.lit('":['), "items", F.lit("]")))
     rows = groups.groupBy("snapshot_id", "table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind_rank", "text"))), lambda x: x["text"]), ",").alias("diff_details"))
@@ -148,14 +161,13 @@ def ddl_events(catalog: Catalog, lo: int, hi: int) -> DataFrame:
     tables = tables.groupBy("snapshot_id", "place", "event_kind", "object_kind", "schema_id", "schema_name", "object_id", "object_name").agg(F.max_by("old_name", "pb").alias("old_name"))
     tables = tables.withColumn("renamed", F.col("old_name").isNotNull() & (F.col("old_name") != F.col("object_name")))
     tables = tables.withColumn("event_kind", F.when(F.col("renamed"), "altered").otherwise(F.col("event_kind")))
-    moved = tables.filter("renamed").select(F.col("snapshot_id").alias("ms"), F.col("object_id").alias("mt")).distinct()
-    altered = (F.col("object_kind") == "table") & (F.col("event_kind") == "altered")
-    by_id = by_id.filter(~altered).unionByName(by_id.filter(altered).join(moved, (F.col("snapshot_id") == F.col("ms")) & (F.col("object_id") == F.col("mt")), "left_anti"))
     rows = schemas.unionByName(named.filter("object_kind = 'view'")).unionByName(by_id).unionByName(tables, allowMissingColumns=True)
-    made = rows.filter("object_kind = 'table' and event_kind = 'created'").select("snapshot_id", F.col("object_id").alias("table_id")).distinct()
-    changed = rows.filter("object_kind = 'table' and event_kind = 'altered'").select("snapshot_id", F.col("object_id").alias("table_id")).distinct()
-    rows = rows.join(_created_details(catalog, made), (F.col("snapshot_id") == F.col("ds")) & (F.col("object_id") == F.col("dt")), "left")
-    rows = rows.join(_altered_details(catalog, changed), (F.col("snapshot_id") == F.col("fs")) & (F.col("object_id") == F.col("ft")), "left")
+    # of a renamed table's alteration in the same snapshot only the rename stays, which has the column changes too
+    same = Window.partitionBy("snapshot_id", "object_kind", "event_kind", "object_id")
+    moved = F.coalesce(F.max("renamed").over(same), F.lit(False))
+    rows = rows.withColumn("moved", moved).filter(~((F.col("object_kind") == "table") & (F.col("event_kind") == "altered") & F.col("moved")) | F.coalesce("renamed", F.lit(False)))
+    rows = rows.join(_created_details(catalog, lo, hi), (F.col("snapshot_id") == F.col("ds")) & (F.col("object_id") == F.col("dt")), "left")
+    rows = rows.join(_altered_details(catalog, lo, hi), (F.col("snapshot_id") == F.col("fs")) & (F.col("object_id") == F.col("ft")), "left")
     views = catalog.views.select(F.col("view_id").alias("vid"), F.col("begin_snapshot").alias("vb"), _json(F.col("sql").alias("definition"), F.col("dialect"), F.col("column_aliases")).alias("view_details"))
     rows = rows.join(views, (F.col("object_kind") == "view") & (F.col("event_kind") == "created") & (F.col("object_id") == F.col("vid")) & (F.col("snapshot_id") == F.col("vb")), "left")
     name = lambda c: F.substring_index(F.substring(F.to_json(F.struct(F.col(c).alias("x"))), 6, 1_000_000), "}", 1)
@@ -206,12 +218,13 @@ def schema_diff(catalog: Catalog, name: str, lo: int, hi: int) -> DataFrame:
     ids = table_ids_named(catalog, name, lo, hi)
     events = ddl_events(catalog, lo, hi).filter("object_kind = 'table' and event_kind in ('created', 'altered')").join(ids.withColumnRenamed("table_id", "t"), F.col("object_id") == F.col("t"), "left_semi")
     null = lambda kind, alias: F.lit(None).cast(kind).alias(alias)
-    created = _depth(_columns_at(catalog, events.filter("event_kind = 'created'").select("snapshot_id", F.col("object_id").alias("table_id")).distinct(), 0))
+    mine = _first_snapshots(catalog).filter(F.col("snapshot_id").between(lo, hi)).join(ids, "table_id", "left_semi")
+    created = _depth(_columns_at(catalog, mine, 0), catalog)
     created = created.select("snapshot_id", F.lit("added").alias("change_kind"), "column_id", null("string", "old_name"), F.col("column_name").alias("new_name"), null("string", "old_type"), F.col("column_type").alias("new_type"), null("string", "old_default"), F.col("default_value").alias("new_default"), null("boolean", "old_nullable"), F.col("nulls_allowed").alias("new_nullable"), F.col("parent_column").alias("parent_column_id"), F.lit(1).alias("kind_rank"), F.col("depth").alias("within"), F.col("column_order").alias("nth"))
     altered = events.filter("event_kind = 'altered'")
     old = F.get_json_object("details", "$.old_table_name")
     renames = altered.filter(old.isNotNull()).select("snapshot_id", F.lit("table_rename").alias("change_kind"), null("long", "column_id"), old.alias("old_name"), F.col("object_name").alias("new_name"), *[null("string", c) for c in ("old_type", "new_type", "old_default", "new_default")], *[null("boolean", c) for c in ("old_nullable", "new_nullable")], null("long", "parent_column_id"), F.lit(0).alias("kind_rank"), F.lit(0).alias("within"), F.lit(0).cast("long").alias("nth"))
-    d = column_diffs(catalog, altered.select("snapshot_id", F.col("object_id").alias("table_id")))
+    d = column_diffs(catalog, lo, hi).join(ids, "table_id", "left_semi")
     k = F.col("change_kind")
     add, gone = k == "added", k == "dropped"
     of = lambda yes, c: F.when(yes, F.col(c)).alias(c)
