@@ -16,11 +16,12 @@ import json
 import os
 import re
 from collections.abc import Iterator, Sequence
+from itertools import repeat
 
 import numpy as np
 
 MARK = "▁"
-MAX_CHUNKS = 500_000
+MAX_CHUNKS = 1_000_000
 #: Words of documents that are turned into ids at once; bounds the arrays in between.
 GROUP_WORDS = 100_000
 #: Chunks that go to the library in one call.
@@ -125,7 +126,7 @@ class ByteModel:
     @staticmethod
     def odd(chunk: str) -> bool:
         """Must go to the library alone."""
-        return chunk[:1] == BARE or not chunk or re.search(r"\s", chunk) is not None
+        return chunk[:1] == BARE or not chunk or chunk[-1].isspace()
 
     def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each chunk has. Chunks of a blank and a word go to the library as one text; bytes tell where each ends."""
@@ -197,10 +198,12 @@ class ChunkTable:
     def _numbers_of(self, words: list[str]) -> np.ndarray:
         if len(self.numbers) >= self.max_chunks:
             self._compact()
-        missing = set(words).difference(self.numbers)
-        if missing:
-            self._add(sorted(missing, key=self.model.odd))
-        k = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        k = np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int64, len(words))
+        at = np.flatnonzero(k < 0).tolist()
+        if at:
+            missing = [words[i] for i in at]
+            self._add(sorted(dict.fromkeys(missing), key=self.model.odd))
+            k[at] = np.fromiter(map(self.numbers.__getitem__, missing), np.int64, len(missing))
         self.hits[: len(self.numbers)] += np.bincount(k, minlength=len(self.numbers))
         return k
 

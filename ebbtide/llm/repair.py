@@ -45,32 +45,37 @@ HASH_BITS = 18
 
 def compress(ids: np.ndarray, ends: np.ndarray, first: int, max_rounds: int = MAX_ROUNDS, pairs: int = PAIRS_A_ROUND, min_count: int = MIN_COUNT):
     """symbols, ends in symbols, left, right. ends: where each document ends in ids (the last one at len(ids))."""
-    seq = ids.astype(np.uint32)
+    seq = ids.astype(np.uint32)  # a copy, changed in place
     stop = np.zeros(len(seq), bool)  # the last id of a document starts no pair
     stop[ends[ends > np.concatenate([[0], ends[:-1]])] - 1] = True
     left, right = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
-    used = 0
-    for _ in range(max_rounds):
+    used, slots = 0, (1 << HASH_BITS) + 1
+    for turn in range(max_rounds):
         if len(seq) < 2:
             break
         a, b = seq[:-1], seq[1:]
-        h = ((a * np.uint32(2654435761)) ^ (b * np.uint32(2246822519))) >> np.uint32(32 - HASH_BITS)
-        h[stop[:-1]] = 1 << HASH_BITS
-        bound = np.bincount(h, minlength=(1 << HASH_BITS) + 1)
+        # other factors each round, so that pairs which share a slot now part later
+        x, y = np.uint32(2654435761 + 2 * turn), np.uint32(2246822519 + 6 * turn)
+        h = ((a * x) ^ (b * y)) >> np.uint32(32 - HASH_BITS)
+        h[stop[:-1]] = slots - 1
+        bound = np.bincount(h, minlength=slots)
         bound[-1] = 0
-        if len(bound) > 4 * pairs:
-            least = max(min_count, int(np.partition(bound, -2 * pairs)[-2 * pairs]))
-        else:
-            least = min_count
+        least = max(min_count, int(np.partition(bound, -2 * pairs)[-2 * pairs])) if slots > 4 * pairs else min_count
         at = np.flatnonzero((bound >= least)[h])
-        codes, inverse, counts = np.unique((a[at].astype(np.uint64) << np.uint64(32)) | b[at], return_inverse=True, return_counts=True)
+        slot, a, b = h[at], a[at], b[at]
+        # each slot's candidate is the pair seen last in it, most often its frequent one; its count is exact
+        first_of, second_of = np.zeros(slots, np.uint32), np.zeros(slots, np.uint32)
+        first_of[slot], second_of[slot] = a, b
+        own = (a == first_of[slot]) & (b == second_of[slot])
+        at, slot = at[own], slot[own]
+        counts = np.bincount(slot, minlength=slots)
         order = np.argsort(-counts, kind="stable")[:pairs]
         order = order[counts[order] >= min_count]
         if not len(order):
             break
-        number = np.full(len(codes), -1, np.int64)
+        number = np.full(slots, -1, np.int64)
         number[order] = np.arange(len(order))
-        name = number[inverse]
+        name = number[slot]
         at, name = at[name >= 0], name[name >= 0]
         # of overlapping pairs every other one, from the left
         fresh = np.concatenate([[True], np.diff(at) > 1])
@@ -81,10 +86,9 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, max_rounds: int = MA
         kept = np.cumsum(hit > 1) - 1  # a rule that is left with one use is not worth storing
         ok = hit[name] > 1
         at, name = at[ok], kept[name[ok]]
-        chosen = codes[order[hit > 1]]
-        left.append((chosen >> np.uint64(32)).astype(np.uint32))
-        right.append((chosen & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-        seq = seq.copy() if seq is ids else seq
+        chosen = order[hit > 1]
+        left.append(first_of[chosen])
+        right.append(second_of[chosen])
         seq[at] = (first + used + name).astype(np.uint32)
         stop[at] = stop[at + 1]
         keep = np.ones(len(seq), bool)
