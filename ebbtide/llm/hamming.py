@@ -61,7 +61,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS, se
         asked = active.select("code").distinct().select("code", parts).select("code", "segment", F.explode(masks).alias("mask"))
         probes = asked.select("code", "segment", segment(F.col("code"), F.col("segment")).bitwiseXOR(F.col("mask")).alias("value"))
         distance = F.bit_count(F.col("code").bitwiseXOR(F.col("found")))
-        near = probes.join(index, ["segment", "value"]).filter(distance <= covered).select("code", "found", "rows", distance.alias("distance"))
+        # the estimate of the probes' size doesn't know of the masks: without the hint they would be broadcast
+        near = probes.join(index.hint("shuffle_hash"), ["segment", "value"]).filter(distance <= covered).select("code", "found", "rows", distance.alias("distance"))
         near = near.distinct()  # met through several segments
         # of codes behind the k-th row nothing is needed
         ahead = Window.partitionBy("code").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)
