@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.llm import hamming, jaccard, mixing, pii, quality, repair, sentencepieces, sharding, token_counts, toxicity
 from ebbtide.llm.common import docs_table, fresh_path
+from ebbtide.llm.oracle import ORACLE
 
 #: Production parameters.
 SHARDS = 40
@@ -65,6 +66,8 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs_table(spark, sf_dir)).drop("rid")
 
 
+__all__ = ["ORACLE", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hamming_topk": op1_hamming_topk,
     "op2_sentencepiece": op2_sentencepiece,
@@ -77,13 +80,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_source_mixing": op10_source_mixing,
 }
-
-ORACLE: dict[str, str] = {
-    "op1_hamming_topk": """
-        WITH signs AS (SELECT vec_id, list_transform(embedding, x -> x > 0) AS s FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
-        pairs AS (
-            SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(range(1, 65), i -> (q.s[i] <> d.s[i])::INT))::INT AS distance
-            FROM signs q, signs d WHERE q.vec_id % 100 = 0),
-        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM pairs)
-        SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10""",
-}
