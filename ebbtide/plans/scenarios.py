@@ -24,7 +24,7 @@ LOG = [
 ROWS = {
     "schemas": [(0, "main", 0, None), (1, "test_s", 1, 25)],
     "tables": [(2, "t_main", 0, 2, 19), (2, "renamed_main", 0, 19, 23), (3, "t_sub", 1, 3, 24), (4, "t_compact", 0, 10, None)],
-    "views": [(5, "v1", 0, "SELECT 1", "duckdb", None, 20, 21), (6, "v1", 0, "SELECT 2", "duckdb", "a,b", 21, 22)],
+    "views": [(5, "v1", 0, "SELECT 1", "spark", None, 20, 21), (6, "v1", 0, "SELECT 2", "spark", "a,b", 21, 22)],
     "columns": [
         (2, 1, 1, "id", "INTEGER", True, None, None, 2, 18), (2, 1, 1, "id", "BIGINT", True, None, None, 18, 23), (2, 2, 2, "name", "VARCHAR", True, None, None, 2, 17), (2, 2, 2, "full_name", "VARCHAR", True, None, None, 17, 23),
         (2, 3, 3, "extra", "INTEGER", True, "7", None, 15, 16), (3, 1, 1, "id", "INTEGER", False, None, None, 3, 24), (3, 2, 2, "pair", "STRUCT", True, None, None, 3, 24), (3, 3, 3, "left", "INTEGER", True, None, 2, 3, 24), (4, 1, 1, "id", "INTEGER", True, None, None, 10, None),
