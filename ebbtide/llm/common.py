@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ebbtide.functions.ship import ship_package
+
 #: ASCII white space, as all word rules of the operators take it: blank, tab, and 0x0A to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -91,4 +93,5 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataF
             if b.num_rows:
                 yield from f(b)
 
+    ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)

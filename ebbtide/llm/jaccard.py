@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ebbtide.functions.ship import ship_package
 from ebbtide.llm.common import fresh_path, map_arrow, materialize, remove_path
 from ebbtide.llm.components import components
 
@@ -144,6 +145,7 @@ def hot_filter(docs: DataFrame, width: int) -> np.ndarray:
                 at = counts >= LOCAL
                 yield pa.RecordBatch.from_arrays([pa.array(values[at].view(np.int64)), pa.array(counts[at].astype(np.int64))], ["shingle", "n"])
 
+    ship_package(docs.sparkSession)
     found = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT)
     slot = F.shiftrightunsigned("shingle", 12).bitwiseAND(F.lit((1 << HOT_BITS) - 1)).alias("slot")
     out = np.zeros(1 << HOT_BITS, bool)

@@ -34,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ebbtide.functions.ship import ship_package
 from ebbtide.llm.common import broadcast_file, map_arrow, text_of
 from ebbtide.llm.pieces import ByteModel, table_for
 
@@ -209,6 +210,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 0, s
         if names:
             yield emit()
 
+    ship_package(docs.sparkSession)
     rows.select("doc_id", "text").mapInArrow(run, "part int, shard int, n_docs long, n_ids long, payload binary").write.parquet(out)
 
 
