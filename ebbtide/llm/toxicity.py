@@ -1,44 +1,52 @@
 """Operator 5: toxicity by the nearest labelled examples.
 
-Examples are labelled training documents (fold_of(doc_id) not 0), at most EXAMPLES of them, taken in the order of a hash of the id. A text
-becomes a TF-IDF vector over terms, which are words and beginnings of words (4 to 7 letters), that stand out in toxic examples (the TERMS with
-the highest z score of the two document frequencies), plus one component for the length of the text, so that a text with one such word
-in a thousand is far from a short one with three. IDF comes from all documents.
-
-The k nearest examples by exact cosine are found with a block-max inverted index: examples of like content lie in blocks, each term's postings are kept by block,
-with their largest weight; the maxima bound a block's cosines from above, blocks are scored in the order of
-their bounds, and the search ends when no bound reaches the k-th cosine found. Votes weigh 1 / (1 - cosine + 0.05); a logistic curve, fitted
-on leave-one-out votes of the examples, turns them into calibrated scores. The neighbours are the evidence.
-
-One pass turns texts into short vectors, which are written; document frequencies and scores are taken from those. Everything collected or broadcast
-(examples, terms, index) is bounded by EXAMPLES and TERMS.
-
-Defined cases: a null text counts as empty; texts without any term have no neighbours and score the smoothed share of toxic documents among
-such examples; without any labelled example the score is 0; ties among neighbours go to the lower example id; repeated rows are
-scored each; labels with null id or null mark are not used, and of several labels of an id the highest counts; other columns are ignored.
+Examples are distinct texts of labelled training documents (fold_of(doc_id) not 0), at most EXAMPLES of them, taken in the order of a hash of the
+text's digest; copies of a text are one example, which is toxic if half of their labels say so. A text becomes a TF-IDF vector over all terms of
+the examples, which are words and beginnings of words (4 to 7 letters), plus one component for the length of the text. A term's IDF, which comes
+from all documents, is multiplied by softplus(z), z being the z score of its document frequencies in toxic and other examples: terms
+that lean to toxic examples weigh more, and no term is left out, however few toxic examples there are.
+
+The k nearest examples by exact cosine are found with an inverted index. Postings of terms of few examples are kept by term. Terms of many (a
+HEAVY-th of the examples) make up most of the postings; they are multiplied as a matrix, in single precision, for STEP texts at once, and the examples
+that rounding could bring among the k best are scored again in double precision. (Block maxima left nearly all blocks in once all terms count.)
+Votes weigh 1 / (1 - cosine + 0.05); a logistic curve, fitted on leave-one-out votes of the examples, turns them into
+calibrated scores; if it falls with the vote, or one kind of example is missing, the vote is the score. The neighbours are the evidence.
+
+One pass turns texts into vectors, which are written; document frequencies and scores are taken from those. Everything
+collected or broadcast (vocabulary, index) comes from the examples, so EXAMPLES bounds it.
+
+Defined cases: a null text counts as empty; texts without words have no neighbours and score the share of toxic ones among such examples,
+with one more counted that is not; without any labelled example the score is 0; ties among neighbours go to the lower example id (that of a text
+with copies is the lowest); repeated rows are scored each; labels with null id or null mark are not used, and of several labels of an id
+the highest counts; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.llm.common import fold_of, map_arrow, materialize, text_of
 
-#: Bound of the labelled sample that examples are drawn from, and of the terms.
+#: Bound of the labelled sample that examples are drawn from.
 EXAMPLES = 10_000
-TERMS = 768
-#: Terms by count in toxic examples that are looked at.
-CANDIDATES = 20_000
-#: Least toxic examples with a term, and least z score.
-MIN_TOXIC, MIN_Z = 5, 4.0
+#: Texts that are cut into terms at once.
+CHUNK = 1000
+#: Terms in one of so many examples have their postings by example.
+HEAVY = 20
+#: Texts that are scored at once.
+STEP = 128
 K = 15
 BLOCK = 64
 NEAR = 0.05
@@ -56,219 +64,319 @@ def words_of(text: str | None) -> list[str]:
 
 
 def examples_of(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, rows: int) -> DataFrame:
-    """doc_id, toxic, text of the bounded sample; the ids are few by construction, so they may be broadcast."""
+    """doc_id, toxic, text of the bounded sample, each text once; the ids are few by construction, so they may be broadcast."""
     known = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & (fold_of(F.col(doc_id)) != 0))
-    known = known.groupBy(F.col(doc_id).alias("example")).agg((F.max(label) > 0).cast("int").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("example"), "example").limit(rows)
-    return docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("example")).select("doc_id", "toxic", "text")
-
-
-def _document_frequencies(examples: DataFrame, wanted: list[str] | None) -> DataFrame:
-    """term, n: in how many of these examples each term (of the wanted ones) occurs."""
-    sent = None if wanted is None else examples.sparkSession.sparkContext.broadcast(frozenset(wanted))
+    known = known.groupBy(F.col(doc_id).cast("long").alias("example")).agg((F.max(label) > 0).cast("int").alias("mark"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
+    digest = F.unhex(F.md5(F.col("text").cast("binary")))
+    marked = texts.select("doc_id", digest.alias("digest")).join(known, F.col("doc_id") == F.col("example"))
+    distinct = marked.groupBy("digest").agg(F.min("doc_id").alias("example"), (F.avg("mark") >= 0.5).cast("int").alias("toxic"))
+    distinct = materialize(distinct.withColumn("place", F.xxhash64("digest")), "toxic-texts")
+    total = distinct.count()
+    if total > rows:
+        # far more than enough by the hash alone, so that the rest needs no sorting
+        share = min(1.0, (1.2 * rows + 1000) / total)
+        near = distinct.filter(F.pmod("place", F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+        distinct = near.orderBy(F.pmod("place", F.lit(1 << 30)), "digest").limit(rows)
+    chosen = distinct.select("example", "toxic", F.col("digest").alias("chosen"))
+    found = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("example")).filter(digest == F.col("chosen"))
+    return found.dropDuplicates(["chosen"]).select("doc_id", "toxic", "text")
+
+
+def term_counts(examples: DataFrame) -> pa.Table:
+    """term, n1, n0: in how many toxic and other examples each term occurs; all terms, in order."""
 
     def make():
         def run(b: pa.RecordBatch):
-            n: Counter = Counter()
-            for t in b.column(0).to_pylist():
-                found = {f for w in set(words_of(t)) for f in terms_of(w)}
-                n.update(found if sent is None else found & sent.value)
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
+            n: tuple[Counter, Counter] = (Counter(), Counter())
+            for toxic, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                n[toxic].update({f for w in set(words_of(t)) for f in terms_of(w)})
+            terms = list(n[0] | n[1])
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in n)], ["term", "n0", "n1"])
 
         return run
 
-    return map_arrow(examples.select("text"), make, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-
-
-def choose_terms(examples: DataFrame, terms: int = TERMS) -> list[str]:
-    """The terms that stand out in toxic examples, best first."""
-    totals = {r.toxic: r["count"] for r in examples.groupBy("toxic").count().collect()}
-    n1, n0 = totals.get(1, 0), totals.get(0, 0)
-    if not n1:
-        return []
-    toxic = _document_frequencies(examples.filter("toxic = 1"), None).filter(F.col("n") >= MIN_TOXIC)
-    a = {r.term: r.n for r in toxic.orderBy(F.col("n").desc(), "term").limit(CANDIDATES).collect()}
-    b = {r.term: r.n for r in _document_frequencies(examples.filter("toxic = 0"), list(a)).collect()} if a and n0 else {}
-
-    def z(t: str) -> float:
-        p1, p0, p = a[t] / n1, b.get(t, 0) / max(n0, 1), (a[t] + b.get(t, 0)) / (n1 + n0)
-        return (p1 - p0) / math.sqrt(p * (1 - p) * (1 / n1 + 1 / max(n0, 1)) + 1e-12)
-
-    ranked = sorted(((z(t), t) for t in a), key=lambda x: (-x[0], x[1]))
-    return [t for s, t in ranked[:terms] if s >= MIN_Z]
-
-
-def vectors_of(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """doc_id, terms (numbers, ascending), counts, n_words."""
-    sent = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+    counts = map_arrow(examples.select("toxic", "text"), make, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    return counts.toArrow().sort_by("term").combine_chunks()
+
+
+def leanings(n1: np.ndarray, n0: np.ndarray, toxic: int, other: int) -> np.ndarray:
+    """softplus of the z score of the two shares: above 0 for every term, and small for those that lean to other examples."""
+    p = (n1 + n0) / max(toxic + other, 1)
+    z = (n1 / max(toxic, 1) - n0 / max(other, 1)) / np.sqrt(p * (1 - p) * (1 / max(toxic, 1) + 1 / max(other, 1)) + 1e-12)
+    return np.logaddexp(0, z)
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of all these slices, one slice after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def term_rows(texts: list, vocabulary: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For CHUNK texts at a time: where each text's terms begin (and the end), terms (numbers, ascending by text), counts, n_words."""
+    for at in range(0, len(texts), CHUNK):
+        code: dict[str, int] = {}
+        words: list[int] = []
+        times: list[int] = []
+        own, total = [], []
+        for t in texts[at : at + CHUNK]:
+            c = Counter(words_of(t))
+            words += [code.setdefault(w, len(code)) for w in c]
+            times += c.values()
+            own.append(len(c))
+            total.append(c.total())
+        forms = [terms_of(w) for w in code]
+        number = pc.index_in(pa.array(list(chain.from_iterable(forms)), pa.string()), value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        lengths = np.array([len(f) for f in forms], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        word = np.array(words, np.int64)
+        many = lengths[word]
+        terms = number[spread(starts[word], many)]
+        text = np.repeat(np.repeat(np.arange(len(own)), own), many)
+        keep = terms >= 0
+        keys, back = np.unique(text[keep] * (len(vocabulary) + 1) + terms[keep], return_inverse=True)
+        counts = np.bincount(back, np.repeat(np.array(times, np.int64), many)[keep], len(keys)).astype(np.int64)
+        text, terms = np.divmod(keys, len(vocabulary) + 1)
+        yield np.searchsorted(text, np.arange(len(own) + 1)), terms, counts, np.array(total, np.int64)
+
+
+def pack(terms: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending terms as differences, and counts, byte by byte of like place, compressed."""
+    both = np.concatenate([np.diff(terms, prepend=0), counts]).astype("<i4")
+    return zlib.compress(both.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
+    n = len(both) // 2
+    return np.cumsum(both[:n]), both[n:]
+
+
+def document_frequencies(vectors: DataFrame, size: int) -> np.ndarray:
+    """In how many documents each term occurs; summed by batch first."""
 
     def make():
-        number = sent.value
-        known: dict[str, tuple[int, ...]] = {}
-
         def run(b: pa.RecordBatch):
-            out: list[list] = [[], [], []]
-            for t in b.column(1).to_pylist():
-                words = words_of(t)
-                n: Counter = Counter()
-                for w in words:
-                    found = known.get(w)
-                    if found is None:
-                        if len(known) > 200_000:
-                            known.clear()
-                        found = known[w] = tuple(number[f] for f in terms_of(w) if f in number)
-                    if found:
-                        n.update(found)
-                keys = sorted(n)
-                for c, v in zip(out, (keys, [n[k] for k in keys], len(words)), strict=True):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.list_(pa.int32())), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.int64())], ["doc_id", "terms", "counts", "n_words"])
+            n = np.zeros(size, np.int64)
+            vectors = b.column(0).to_pylist()
+            for at in range(0, len(vectors), CHUNK):
+                n += np.bincount(np.concatenate([unpack(v)[0] for v in vectors[at : at + CHUNK]]), minlength=size)
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["term", "n"])
 
         return run
 
-    return map_arrow(docs, make, "doc_id long, terms array<int>, counts array<int>, n_words long")
+    got = map_arrow(vectors.select("vector"), make, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size, np.int64)
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    return out
 
 
-def _frequencies(vectors: DataFrame) -> DataFrame:
-    """term, n: in how many documents; summed by task first, so at most TERMS rows a batch leave it."""
+def vectors_of(examples: DataFrame, sent) -> DataFrame:
+    """doc_id, toxic, vector (packed terms and counts), n_words."""
 
     def make():
+        vocabulary = sent.value
+
         def run(b: pa.RecordBatch):
-            values, counts = np.unique(b.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int32)), pa.array(counts.astype(np.int64))], ["term", "n"])
+            at = 0
+            for starts, terms, counts, total in term_rows(b.column(2).to_pylist(), vocabulary):
+                packed = [pack(terms[i:j], counts[i:j]) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(total)), b.column(1).slice(at, len(total)), pa.array(packed, pa.binary()), pa.array(total)], ["doc_id", "toxic", "vector", "n_words"])
+                at += len(total)
 
         return run
 
-    return map_arrow(vectors.select("terms"), make, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return map_arrow(examples.select("doc_id", "toxic", "text"), make, "doc_id long, toxic int, vector binary, n_words long")
 
 
 @dataclass
 class Index:
-    """Block-max inverted index over unit vectors. Term len(idf) stands for the length of the text."""
+    """Inverted index over unit vectors, with a matrix for the terms of many examples. Term len(idf) stands for the length of the text; idf holds the terms' whole weights."""
 
     idf: np.ndarray
     ids: list = field(default_factory=list)
     toxic: np.ndarray = field(default_factory=lambda: np.zeros(0))
     k: int = K
     base: float = 0.0
-    curve: tuple[float, float] = (0.0, 1.0)
-
-    def weights(self, terms: list[int], counts: list[int], n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    curve: tuple[float, float] | None = None
+    matrix: np.ndarray | None = None
+    #: (id, toxic, vector, n_words) of the examples, as they are sent
+    packed: list | None = None
+
+    def built(self) -> Index:
+        """The index, built from the packed examples in the worker that uses it."""
+        if self.packed is not None:
+            self.build([(i, y, *unpack(v), n) for i, y, v, n in self.packed])
+            self.packed = None
+        return self
+
+    def weights(self, terms, counts, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights, which single precision holds exactly."""
         t = np.append(np.asarray(terms, np.int64), len(self.idf))
         w = np.append((1 + np.log(np.asarray(counts, float))) * self.idf[t[:-1]], math.log1p(n_words))
-        return t, w / math.sqrt(w @ w)
+        return t, (w / (math.sqrt(w @ w) or 1.0)).astype(np.float32).astype(float)
 
     def build(self, rows: list[tuple]) -> None:
-        """rows: (id, toxic, terms, counts, n_words), all with terms."""
+        """rows: (id, toxic, terms, counts, n_words), all with words."""
         vectors = [(r[0], r[1], *self.weights(*r[2:])) for r in rows]
         # like content together: by the strongest term, then by its weight
-        vectors.sort(key=lambda v: (int(v[2][np.argmax(v[3][:-1])]), float(np.max(v[3][:-1])), v[0]))
+        vectors.sort(key=lambda v: (int(v[2][np.argmax(v[3][:-1])]) if len(v[2]) > 1 else -1, float(np.max(v[3][:-1], initial=0)), v[0]))
         self.ids, self.toxic = [v[0] for v in vectors], np.array([v[1] for v in vectors], float)
-        self.rank = np.argsort(np.argsort(np.array(self.ids), kind="stable")) if vectors else np.zeros(0, int)
+        self.rank = np.argsort(np.argsort(np.array(self.ids), kind="stable"), kind="stable") if vectors else np.zeros(0, int)
         self.blocks = -(-len(vectors) // BLOCK)
         n = len(self.idf) + 1
-        # postings of a term, block by block; a block's are dense, so that many terms and blocks are added at once
-        self.postings = np.zeros((n, self.blocks, BLOCK))
-        for i, (_, _, t, w) in enumerate(vectors):
-            self.postings[t, i // BLOCK, i % BLOCK] = w
-        self.most = self.postings.max(axis=2) if self.blocks else np.zeros((n, 0))
-
-    def search(self, t: np.ndarray, w: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The k best (cosine, position), exactly; ties go to the lower id. First the blocks of the highest bounds are scored, then those
-        others whose bound reaches the k-th cosine found so far."""
+        terms = np.concatenate([v[2] for v in vectors] or [np.zeros(0, np.int64)]).astype(np.int32)
+        weights = np.concatenate([v[3] for v in vectors] or [np.zeros(0)]).astype(np.float32)
+        where = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(v[2]) for v in vectors])
+        del vectors
+        often = np.bincount(terms, minlength=n)
+        heavy = np.flatnonzero(often * HEAVY >= max(len(self.ids), 1))
+        self.slot = np.full(n, -1, np.int32)
+        self.slot[heavy] = np.arange(len(heavy))
+        at = self.slot[terms] >= 0
+        # terms of many examples: by example
+        self.size, self.n_heavy = self.blocks * BLOCK, len(heavy)
+        self.head = np.concatenate([[0], np.cumsum(np.bincount(where[at], minlength=self.size))]).astype(np.int64)
+        self.head_slot, self.head_weight = self.slot[terms[at]], weights[at]
+        # the others: by term
+        terms, weights, where = terms[~at], weights[~at], where[~at]
+        order = np.argsort(terms, kind="stable")
+        self.where, self.sparse = where[order], weights[order]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=n))]).astype(np.int32)
+
+    def products(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What heavy terms add to each query's cosines, in single precision."""
+        if self.matrix is None:  # built where it is used, so that it is not sent
+            self.matrix = np.zeros((self.n_heavy, self.size), np.float32)
+            self.matrix[self.head_slot, np.repeat(np.arange(self.size), np.diff(self.head))] = self.head_weight
+        q = np.zeros((len(queries), self.n_heavy), np.float32)
+        for i, (t, w) in enumerate(queries):
+            at = self.slot[t] >= 0
+            q[i, self.slot[t[at]]] = w[at]
+        return q @ self.matrix
+
+    def search(self, t: np.ndarray, w: np.ndarray, k: int, product: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """The k best (cosine, position), exactly; ties go to the lower id. All examples that rounding could bring among the k best are
+        scored again in double precision."""
         if not self.blocks:
             return []
-        bounds = w @ self.most[t]
-        order = np.argsort(-bounds, kind="stable")
-        lead = order[: 2 + k // BLOCK]
-        cosines, at = self._score(t, w, lead)
-        least = np.partition(cosines, -k)[-k] if len(cosines) >= k else -1.0
-        more = order[len(lead) :]
-        more = more[bounds[more] >= least - 1e-9]
-        if len(more):
-            c, p = self._score(t, w, more)
-            cosines, at = np.concatenate([cosines, c]), np.concatenate([at, p])
-        if len(at) > k:
-            keep = cosines >= np.partition(cosines, -k)[-k] - 1e-9
-            cosines, at = cosines[keep], at[keep]
-        best = sorted((-round(c, 12), r, p) for c, r, p in zip(cosines.tolist(), self.rank[at].tolist(), at.tolist(), strict=True))[:k]
-        return [(-c, p) for c, _, p in best]
-
-    def _score(self, t: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines and positions of all examples of these blocks."""
-        c = np.tensordot(w, self.postings[t[:, None], blocks], 1).ravel()
-        at = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        real = at < len(self.ids)
-        return c[real], at[real]
+        product = self.products([(t, w)])[0] if product is None else product
+        slot = self.slot[t]
+        light = slot < 0
+        starts, ends = self.starts[t[light]].astype(np.int64), self.starts[t[light] + 1].astype(np.int64)
+        at = spread(starts, ends - starts)
+        part = np.bincount(self.where[at], np.repeat(w[light], ends - starts) * self.sparse[at], self.size)
+        query = np.zeros(self.n_heavy)
+        query[slot[~light]] = w[~light]
+        about = (part + product)[: len(self.ids)]
+        # each of two sums of unit vectors is off by n_heavy roundings at most
+        slack = 2 * (self.n_heavy + 2) * 2.0**-23
+        found = np.flatnonzero(about >= np.partition(about, -k)[-k] - slack) if len(about) > k else np.arange(len(about))
+        many = self.head[found + 1] - self.head[found]
+        at = spread(self.head[found], many)
+        cosines = part[found] + np.bincount(np.repeat(np.arange(len(found)), many), query[self.head_slot[at]] * self.head_weight[at], len(found))
+        best = sorted((-round(c, 12), r, p, c) for c, r, p in zip(cosines.tolist(), self.rank[found].tolist(), found.tolist(), strict=True))[:k]
+        return [(round(c, 14), p) for *_, p, c in best]
+
+    def search_all(self, rows: list[tuple], k: int) -> Iterator[list[tuple[float, int]]]:
+        """search() for rows of (terms, counts, n_words), STEP at once."""
+        for at in range(0, len(rows), STEP):
+            queries = [self.weights(*r) for r in rows[at : at + STEP]]
+            for (t, w), p in zip(queries, self.products(queries) if self.blocks else queries, strict=True):
+                yield self.search(t, w, k, p)
 
     def vote(self, found: list[tuple[float, int]]) -> float:
         w = [1 / (1 - min(c, 1.0) + NEAR) for c, _ in found]
         return sum(x * self.toxic[i] for x, (_, i) in zip(w, found, strict=True)) / sum(w)
 
-    def calibrate(self, rows: list[tuple]) -> None:
-        """A logistic curve over the votes that examples get without themselves."""
-        at = {x: i for i, x in enumerate(self.ids)}
-        votes, marks = [], []
+    def votes_without(self, examples: list, rows: list[tuple]) -> list[float | None]:
+        """The votes that examples get without themselves."""
+        out = []
+        for x, found in zip(examples, self.search_all(rows, self.k + 1), strict=True):
+            others = [(c, i) for c, i in found if self.ids[i] != x][: self.k]
+            out.append(self.vote(others) if others else None)
+        return out
+
+    def score(self, rows: list[tuple]) -> Iterator[tuple[float, list, list]]:
+        """Score, neighbours and cosines for rows of (terms, counts, n_words)."""
+        found = self.search_all([r for r in rows if r[2]], self.k)
         for r in rows:
-            found = [(c, i) for c, i in self.search(*self.weights(*r[2:]), self.k + 1) if i != at[r[0]]][: self.k]
-            if found:
-                votes.append(self.vote(found))
-                marks.append(r[1])
-        a, b = 0.0, 1.0
-        if 0 < sum(marks) < len(marks):
-            x, y = np.array(votes), np.array(marks, float)
-            a, b = -2.0, 4.0
-            for _ in range(50):  # Newton steps with a small ridge
-                p = 1 / (1 + np.exp(-(a + b * x)))
-                g = np.array([(p - y).sum() + 1e-3 * a, ((p - y) * x).sum() + 1e-3 * b])
-                s = p * (1 - p) + 1e-9
-                h = np.array([[s.sum() + 1e-3, (s * x).sum()], [(s * x).sum(), (s * x * x).sum() + 1e-3]])
-                step = np.linalg.solve(h, g)
-                a, b = a - step[0], b - step[1]
-                if abs(step).max() < 1e-9:
-                    break
-            self.curve = (a, b)
-        else:
-            self.curve = None
-
-    def score(self, terms: list[int], counts: list[int], n_words: int) -> tuple[float, list, list]:
-        if not terms or not self.blocks:
-            return self.base, [], []
-        found = self.search(*self.weights(terms, counts, n_words), self.k)
-        v = self.vote(found)
-        s = v if self.curve is None else 1 / (1 + math.exp(-(self.curve[0] + self.curve[1] * v)))
-        return float(s), [self.ids[i] for _, i in found], [c for c, _ in found]
-
-
-def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES, terms: int = TERMS, k: int = K) -> DataFrame:
+            near = next(found) if r[2] else []
+            if not near:
+                yield self.base, [], []
+                continue
+            v = self.vote(near)
+            s = v if self.curve is None else 1 / (1 + math.exp(-(self.curve[0] + self.curve[1] * v)))
+            yield float(s), [self.ids[i] for _, i in near], [c for c, _ in near]
+
+
+def fit_curve(votes: list[float], marks: list[int]) -> tuple[float, float] | None:
+    """A logistic curve over votes; None if there is none that rises."""
+    if not 0 < sum(marks) < len(marks):
+        return None
+    x, y = np.array(votes), np.array(marks, float)
+    a, b = -2.0, 4.0
+    for _ in range(50):  # Newton steps with a small ridge
+        p = 1 / (1 + np.exp(-(a + b * x)))
+        g = np.array([(p - y).sum() + 1e-3 * a, ((p - y) * x).sum() + 1e-3 * b])
+        s = p * (1 - p) + 1e-9
+        h = np.array([[s.sum() + 1e-3, (s * x).sum()], [(s * x).sum(), (s * x * x).sum() + 1e-3]])
+        step = np.linalg.solve(h, g)
+        a, b = a - step[0], b - step[1]
+        if abs(step).max() < 1e-9:
+            break
+    return (float(a), float(b)) if b > 0 and math.isfinite(a + b) else None
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES, k: int = K) -> DataFrame:
     """doc_id, held_out, score, predicted, neighbours, cosines."""
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     sample = materialize(examples_of(docs, labels, doc_id, text, label, examples), "toxic-examples")
-    vocabulary = choose_terms(sample, terms)
-    vectors = materialize(vectors_of(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)), vocabulary), "toxic-vectors")
-    total = vectors.count()
-    frequency = {r.term: r.n for r in _frequencies(vectors).collect()}
-    idf = np.array([math.log((total + 1) / (frequency.get(i, 0) + 1)) + 1e-6 for i in range(len(vocabulary))])
-    rows = [tuple(r) for r in vectors_of(sample.select("doc_id", "text"), vocabulary).join(sample.select(F.col("doc_id").alias("d"), "toxic").distinct(), F.col("doc_id") == F.col("d")).select("doc_id", "toxic", "terms", "counts", "n_words").collect()]
-    rows = sorted({r[0]: r for r in sorted(rows, key=str)}.values())
-    index = Index(idf, k=k)
-    plain = [r for r in rows if not r[2]]
-    index.base = (sum(r[1] for r in plain) + 0.5) / (len(plain) + 1) if rows and any(r[1] for r in rows) else 0.0
-    index.base = min(index.base, 1.0)
-    rows = [r for r in rows if r[2]]
-    index.build(rows)
-    index.calibrate(rows)
-    sent = spark.sparkContext.broadcast(index)
+    n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    counts = term_counts(sample)
+    vocabulary = counts.column("term").combine_chunks()
+    vocabulary = vocabulary if isinstance(vocabulary, pa.Array) else pa.concat_arrays(vocabulary.chunks or [pa.array([], pa.string())])
+    lean = leanings(counts.column("n1").to_numpy(), counts.column("n0").to_numpy(), n.get(1, 0), n.get(0, 0))
+    del counts
+    words = context.broadcast(vocabulary)
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lit(0).alias("toxic"), F.col(text).alias("text"))
+    documents = materialize(vectors_of(texts, words).drop("toxic"), "toxic-documents")
+    idf = np.log((documents.count() + 1) / (document_frequencies(documents, len(lean)) + 1)) + 1e-6
+    index = Index(idf * lean, k=k)
+    vectors = materialize(vectors_of(sample, words).repartition(24), "toxic-vectors")
+    got = vectors.toArrow()
+    rows = list(zip(*(got.column(i).to_pylist() for i in range(4)), strict=True))
+    plain = [r for r in rows if not r[3]]
+    index.base = sum(r[1] for r in plain) / (len(plain) + 1)
+    index.packed = sorted(r for r in rows if r[3])
+    sent = context.broadcast(index)
+
+    def make_votes():
+        index = sent.value.built()
+
+        def run(b: pa.RecordBatch):
+            got = index.votes_without(b.column(0).to_pylist(), [(*unpack(v), n) for v, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.float64()), b.column(1)], ["vote", "toxic"])
+
+        return run
+
+    votes = map_arrow(vectors.filter("n_words > 0"), make_votes, "vote double, toxic int").filter("vote is not null").orderBy("vote", "toxic").collect()
+    curve = fit_curve([r.vote for r in votes], [r.toxic for r in votes])
 
     def make():
-        index = sent.value
+        index = sent.value.built()
+        index.curve = curve
 
         def run(b: pa.RecordBatch):
-            got = [index.score(*x) for x in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+            vectors, n_words, got = b.column(1).to_pylist(), b.column(2).to_pylist(), []
+            for at in range(0, len(vectors), CHUNK):
+                got += index.score([(*unpack(v), n) for v, n in zip(vectors[at : at + CHUNK], n_words[at : at + CHUNK], strict=True)])
             cols = [pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "score", "neighbours", "cosines"])
 
         return run
 
-    scored = map_arrow(vectors, make, "doc_id long, score double, neighbours array<long>, cosines array<double>")
+    scored = map_arrow(documents, make, "doc_id long, score double, neighbours array<long>, cosines array<double>")
     return scored.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "cosines")

@@ -112,3 +112,40 @@ def test_quality_of_odd_rows(spark):
     assert got == sorted(((d, *plain(t)) for d, t, _, _ in ODD), key=str)
     assert quality.judge(empty_docs(spark)).count() == 0
     assert not math.isnan(0.0)
+
+
+def held_out_counts(spark, name, docs=None, labels=None):
+    """Toxic and other labelled held-out documents, as (right, all) each."""
+    d = f"/root/testdata/{name}"
+    docs, labels = docs or spark.read.parquet(f"{d}/documents.parquet"), labels or spark.read.parquet(f"{d}/labels.parquet")
+    marks = {r.doc_id: r.toxic for r in labels.collect()}
+    rows = [(r.predicted, marks[r.doc_id]) for r in toxicity.score_toxicity(docs, labels).collect() if r.held_out and r.doc_id in marks]
+    return [(sum(p == y for p, y in rows if y == side), sum(y == side for _, y in rows)) for side in (1, 0)]
+
+
+def test_copies_of_a_toxic_text_hide_no_others(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic")
+    # 500 ordinary words that no other text has: with their beginnings more terms than any one cap of hundreds
+    text = " ".join(f"{a}{b}{c}quorn{c}{a}" for a in "bdfgklmn" for b in "aeiou" for c in "prstvwxyzhjqc")
+    ids = [i for i in range(10_000_000, 10_001_000) if py_fold(i)]
+    copies = spark.createDataFrame([(i, text) for i in ids], "doc_id long, text string")
+    marked = spark.createDataFrame([(i, 1) for i in ids], "doc_id long, toxic int")
+    (found, toxic), (calm, other) = held_out_counts(spark, "sf0.01", docs.unionByName(copies), labels.unionByName(marked))
+    assert (toxic, other) == (6, 64) and found >= 5 and calm >= 63
+
+
+def test_few_toxic_examples_suffice(spark):
+    for name, least in (("sf0.001", 1), ("sf0.01", 5)):
+        (found, _), (calm, other) = held_out_counts(spark, name)
+        assert found >= least and calm >= other - 1
+
+
+def test_the_stage_rejects_toxic_documents_of_a_small_table(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    toxic = {r.doc_id for r in spark.read.parquet(f"{d}/labels.parquet").filter("toxic = 1").collect()}
+    left = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{d}/documents.parquet"), d).collect()}
+    assert len(toxic - left) >= 0.8 * len(toxic)
