@@ -8,6 +8,9 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +45,14 @@ def materialize(df: DataFrame, what: str, partition_by: tuple[str, ...] = ()) ->
     spark = df.sparkSession
     path = fresh_path(spark, what)
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a frame that materialize() gave back; nothing may read it, or what was derived from it lazily, any more."""
+    remove_path(df.sparkSession, df._written)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
@@ -84,6 +94,42 @@ def broadcast_file(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
+def fresh_name(base: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, whatever the case of letters."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+#: Slots of a sieve, and thereby the bound of what it broadcasts: SIEVE / 64 rows of two longs.
+SIEVE = 1 << 22
+
+
+def sift(df: DataFrame, keys: list[Column], others: DataFrame, other_keys: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """Splits df into rows that surely share no keys with `others`, and those that may. Only the latter need a shuffle to be joined.
+
+    A filter of fixed size: the hash of a row's keys marks a bit. The more rows `others` has, the fewer rows it sets apart; no row that
+    could match is ever among those set apart."""
+    word, bit, mask, place = (fresh_name(n, df, others) for n in ("sieve_word", "sieve_bit", "sieve_mask", "sieve_place"))
+    slot = lambda ks: F.pmod(F.xxhash64(*ks), F.lit(SIEVE))
+    marks = others.select(slot(other_keys).alias(place)).select(F.floor(F.col(place) / 64).alias(word), F.expr(f"shiftleft(1L, cast({place} % 64 as int))").alias(bit))
+    marks = marks.groupBy(word).agg(F.bit_or(bit).alias(mask))
+    own = df.withColumn(place, slot(keys)).join(F.broadcast(marks), F.floor(F.col(place) / 64) == F.col(word), "left")
+    hit = F.expr(f"coalesce(shiftright({mask}, cast({place} % 64 as int)) & 1L, 0L) = 1L")
+    return own.filter(~hit).drop(place, word, mask), own.filter(hit).drop(place, word, mask)
+
+
+def slices(b: pa.RecordBatch, text: int, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about so many bytes in its column `text`, one row at least."""
+    size = np.cumsum([x or 0 for x in pc.binary_length(b.column(text)).to_pylist()])
+    at = 0
+    while at < b.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most_bytes, side="right")))
+        yield b.slice(at, end - at)
+        at = end
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
     """mapInArrow where make() is called once for each task and returns a function from a RecordBatch to one or an iterable of them."""
 

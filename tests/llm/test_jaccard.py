@@ -47,6 +47,35 @@ def test_odd_rows(spark):
     assert got(jaccard.jaccard_components(odd_docs(spark), 4, 85)) == plain([(d, t) for d, t, _, _ in ODD], 4, 85)
     assert jaccard.jaccard_components(empty_docs(spark), 4, 85).count() == 0
     assert sorted(str(r.doc_id) for r in jaccard.keep_one(odd_docs(spark)).collect()) == sorted(str(d) for d, *_ in ODD if d != 7)
+    clash = odd_docs(spark).selectExpr("*", "1 gone", "2 row_id", "3 row_body", "4 sieve_mask", "5 n", "6 digest", "7 `a.b`")
+    assert jaccard.keep_one(clash).columns == clash.columns and jaccard.keep_one(clash).count() == len([d for d, *_ in ODD if d != 7])
+
+
+def test_rows_of_one_id_are_judged_apart(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long), (2, long + " more"), (2, "another text that is clean and stays here"), (None, long), (None, "no id and nothing like it"), (None, "no id and nothing like it"), (3, None), (4, "")]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([rows[0], *rows[2:3], *rows[4:]], key=str)
+
+
+def test_a_large_group_whose_members_miss_their_least_one(spark, monkeypatch):
+    """Most pairs of the group are no links, and no member links to all; blocks are small, so that a cell has many."""
+    monkeypatch.setattr(jaccard, "BLOCK", 64)
+    rng = random.Random(9)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for d in range(2000):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 5, 8])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**9)}"
+        rows.append((d, " ".join(w)))
+    rows[0] = (0, " ".join(base[:60] + [f"y{i}" for i in range(14)] + base[60:]))
+    assert got(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 4, 85)) == plain(rows, 4, 85)
+
+
+def test_a_forest_pair_that_is_no_link_hides_none(spark, monkeypatch):
+    """With bitmaps of few bits most pairs pass that don't link, and the second round must find the links they stood for."""
+    monkeypatch.setattr(jaccard, "_bitmap", lambda s: bytes(8))
+    test_chains_bridges_and_shared_passages(spark, monkeypatch)
 
 
 def test_chains_bridges_and_shared_passages(spark, monkeypatch):
