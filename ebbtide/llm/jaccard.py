@@ -345,8 +345,8 @@ def _classes(docs: DataFrame, width: int, percent: int, without_id: bool) -> tup
     links = _links(materialize(_candidates(tiles, None, arrays, percent, every=False), "jaccard-pairs"), arrays, percent)
     found = components(links)
     # a pair that was to join two components may not have linked: whatever still could, is checked
-    more = _links(materialize(_candidates(tiles, found, arrays, percent, every=True), "jaccard-pairs"), arrays, percent)
-    found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    more = materialize(_links(materialize(_candidates(tiles, found, arrays, percent, every=True), "jaccard-pairs"), arrays, percent), "jaccard-links")
+    found = found if more.isEmpty() else components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     roots = known.join(found.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").select("digest", "rep", F.coalesce("root", "node").alias("root"))
     least = roots.groupBy("root").agg(F.min("rep").alias("least"))
     classes = materialize(roots.join(least, "root").select(F.col("digest").alias("d"), "least"), "jaccard-classes")
