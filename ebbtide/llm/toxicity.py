@@ -1,22 +1,25 @@
 """Operator 5: toxicity by the nearest labelled examples.
 
-Examples are distinct texts of labelled training documents (fold_of(doc_id) not 0), at most EXAMPLES of them, taken in the order of a hash of the
-text's digest; copies of a text are one example, which is toxic if half of their labels say so. A text becomes a TF-IDF vector over all terms of
-the examples, which are words and beginnings of words (4 to 7 letters), plus one component for the length of the text. A term's IDF, which comes
-from all documents, is multiplied by softplus(z), z being the z score of its document frequencies in toxic and other examples: terms
+Examples are distinct texts of labelled training documents (fold_of(doc_id) not 0), at most EXAMPLES of them: toxic ones up to half of that, and
+others, each in the order of a hash of the text's digest. Copies of a text are one example, which is toxic if half of their labels say so. A
+text becomes a TF-IDF vector over all terms of the examples, which are words and the first five letters of longer ones. A term's IDF, which
+comes from all documents, is multiplied by softplus(z), z being the z score of its document frequencies in toxic and other examples: terms
 that lean to toxic examples weigh more, and no term is left out, however few toxic examples there are.
 
-The k nearest examples by exact cosine are found with an inverted index. Postings of terms of few examples are kept by term. Terms of many (a
-HEAVY-th of the examples) make up most of the postings; they are multiplied as a matrix, in single precision, for STEP texts at once, and the examples
-that rounding could bring among the k best are scored again in double precision. (Block maxima left nearly all blocks in once all terms count.)
-Votes weigh 1 / (1 - cosine + 0.05); a logistic curve, fitted on leave-one-out votes of the examples, turns them into
-calibrated scores; if it falls with the vote, or one kind of example is missing, the vote is the score. The neighbours are the evidence.
+The k nearest examples by exact cosine are found with a block-max inverted index. Examples of like content lie in one block; each term has
+the greatest weight that it reaches in each block, so a text's weights times these bound every cosine of a block. The blocks of the highest
+bounds are scored first; then all blocks whose bound reaches the k-th cosine found, and no others. Postings of terms of few examples are
+kept by term and example, those of many (a HEAVY-th of the examples) by term and block.
+Votes weigh 1 / (1 - cosine + 0.05); a logistic curve, fitted on leave-one-out votes of the examples and shifted by the two kinds' sampling
+rates, turns them into calibrated scores; if it falls with the vote, or one kind of example is missing, the vote is the score. The neighbours are
+the evidence.
 
 One pass turns texts into vectors, which are written; document frequencies and scores are taken from those. Everything
 collected or broadcast (vocabulary, index) comes from the examples, so EXAMPLES bounds it.
 
 Defined cases: a null text counts as empty; texts without words have no neighbours and score the share of toxic ones among such examples,
-with one more counted that is not; without any labelled example the score is 0; ties among neighbours go to the lower example id (that of a text
+with one more counted that is not; a text none of whose terms the examples have is as far from all and gets the vote of the lowest ids;
+without any labelled example the score is 0; ties among neighbours go to the lower example id (that of a text
 with copies is the lowest); repeated rows are scored each; labels with null id or null mark are not used, and of several labels of an id
 the highest counts; other columns are ignored.
 """
@@ -40,7 +43,7 @@ from pyspark.sql import functions as F
 from ebbtide.llm.common import fold_of, map_arrow, materialize, text_of
 
 #: Bound of the labelled sample that examples are drawn from.
-EXAMPLES = 10_000
+EXAMPLES = 4_000
 #: Texts that are cut into terms at once.
 CHUNK = 1000
 #: Terms in one of so many examples have their postings by example.
@@ -48,23 +51,24 @@ HEAVY = 20
 #: Texts that are scored at once.
 STEP = 128
 K = 15
-BLOCK = 64
+#: Examples in a block, and blocks that are scored first.
+BLOCK, FIRST = 16, 6
 NEAR = 0.05
 
 _word = re.compile(r"[^\W\d_]+")
 
 
 def terms_of(word: str) -> tuple[str, ...]:
-    """The word, and its beginnings, which end with a hyphen."""
-    return (word, *(word[:k] + "-" for k in range(4, min(8, len(word)))))
+    """The word, and the beginning of a longer one, which ends with a hyphen."""
+    return (word, word[:5] + "-") if len(word) > 5 else (word,)
 
 
 def words_of(text: str | None) -> list[str]:
     return _word.findall((text or "").lower())
 
 
-def examples_of(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, rows: int) -> DataFrame:
-    """doc_id, toxic, text of the bounded sample, each text once; the ids are few by construction, so they may be broadcast."""
+def examples_of(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, rows: int) -> tuple[DataFrame, dict[int, int]]:
+    """doc_id, toxic, text of the bounded sample, each text once (the ids are few by construction, so they may be broadcast); and how many there are of each kind in all."""
     known = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & (fold_of(F.col(doc_id)) != 0))
     known = known.groupBy(F.col(doc_id).cast("long").alias("example")).agg((F.max(label) > 0).cast("int").alias("mark"))
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
@@ -72,15 +76,22 @@ def examples_of(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, labe
     marked = texts.select("doc_id", digest.alias("digest")).join(known, F.col("doc_id") == F.col("example"))
     distinct = marked.groupBy("digest").agg(F.min("doc_id").alias("example"), (F.avg("mark") >= 0.5).cast("int").alias("toxic"))
     distinct = materialize(distinct.withColumn("place", F.xxhash64("digest")), "toxic-texts")
-    total = distinct.count()
-    if total > rows:
-        # far more than enough by the hash alone, so that the rest needs no sorting
-        share = min(1.0, (1.2 * rows + 1000) / total)
-        near = distinct.filter(F.pmod("place", F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-        distinct = near.orderBy(F.pmod("place", F.lit(1 << 30)), "digest").limit(rows)
+    parts = []
+    total = {r.toxic: r["count"] for r in distinct.groupBy("toxic").count().collect()}
+    quota = {1: min(total.get(1, 0), max(rows // 2, rows - total.get(0, 0)))}
+    quota[0] = min(total.get(0, 0), rows - quota[1])
+    for kind, n in quota.items():
+        part = distinct.filter(F.col("toxic") == kind)
+        if total.get(kind, 0) > n:
+            # far more than enough by the hash alone, so that the rest needs no sorting
+            share = min(1.0, (1.2 * n + 1000) / total[kind])
+            near = part.filter(F.pmod("place", F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+            part = near.orderBy(F.pmod("place", F.lit(1 << 30)), "digest").limit(n)
+        parts.append(part)
+    distinct = parts[0].unionByName(parts[1])
     chosen = distinct.select("example", "toxic", F.col("digest").alias("chosen"))
     found = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("example")).filter(digest == F.col("chosen"))
-    return found.dropDuplicates(["chosen"]).select("doc_id", "toxic", "text")
+    return found.dropDuplicates(["chosen"]).select("doc_id", "toxic", "text"), total
 
 
 def term_counts(examples: DataFrame) -> pa.Table:
@@ -193,7 +204,7 @@ def vectors_of(examples: DataFrame, sent) -> DataFrame:
 
 @dataclass
 class Index:
-    """Inverted index over unit vectors, with a matrix for the terms of many examples. Term len(idf) stands for the length of the text; idf holds the terms' whole weights."""
+    """Block-max inverted index over unit vectors; idf holds the terms' whole weights."""
 
     idf: np.ndarray
     ids: list = field(default_factory=list)
@@ -201,90 +212,97 @@ class Index:
     k: int = K
     base: float = 0.0
     curve: tuple[float, float] | None = None
-    matrix: np.ndarray | None = None
     #: (id, toxic, vector, n_words) of the examples, as they are sent
     packed: list | None = None
 
     def built(self) -> Index:
         """The index, built from the packed examples in the worker that uses it."""
         if self.packed is not None:
-            self.build([(i, y, *unpack(v), n) for i, y, v, n in self.packed])
+            self.build([(i, y, *unpack(v)) for i, y, v, _ in self.packed])
             self.packed = None
         return self
 
-    def weights(self, terms, counts, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    def weights(self, terms, counts) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights, which single precision holds exactly."""
-        t = np.append(np.asarray(terms, np.int64), len(self.idf))
-        w = np.append((1 + np.log(np.asarray(counts, float))) * self.idf[t[:-1]], math.log1p(n_words))
+        t = np.asarray(terms, np.int64)
+        w = (1 + np.log(np.asarray(counts, float))) * self.idf[t]
         return t, (w / (math.sqrt(w @ w) or 1.0)).astype(np.float32).astype(float)
 
     def build(self, rows: list[tuple]) -> None:
-        """rows: (id, toxic, terms, counts, n_words), all with words."""
+        """rows: (id, toxic, terms, counts), all with words."""
         vectors = [(r[0], r[1], *self.weights(*r[2:])) for r in rows]
         # like content together: by the strongest term, then by its weight
-        vectors.sort(key=lambda v: (int(v[2][np.argmax(v[3][:-1])]) if len(v[2]) > 1 else -1, float(np.max(v[3][:-1], initial=0)), v[0]))
+        vectors.sort(key=lambda v: (int(v[2][np.argmax(v[3])]) if len(v[2]) else -1, float(np.max(v[3], initial=0)), v[0]))
         self.ids, self.toxic = [v[0] for v in vectors], np.array([v[1] for v in vectors], float)
         self.rank = np.argsort(np.argsort(np.array(self.ids), kind="stable"), kind="stable") if vectors else np.zeros(0, int)
         self.blocks = -(-len(vectors) // BLOCK)
-        n = len(self.idf) + 1
+        n = len(self.idf)
         terms = np.concatenate([v[2] for v in vectors] or [np.zeros(0, np.int64)]).astype(np.int32)
         weights = np.concatenate([v[3] for v in vectors] or [np.zeros(0)]).astype(np.float32)
         where = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(v[2]) for v in vectors])
         del vectors
-        often = np.bincount(terms, minlength=n)
-        heavy = np.flatnonzero(often * HEAVY >= max(len(self.ids), 1))
+        heavy = np.flatnonzero(np.bincount(terms, minlength=n) * HEAVY >= max(len(self.ids), 1))
         self.slot = np.full(n, -1, np.int32)
         self.slot[heavy] = np.arange(len(heavy))
         at = self.slot[terms] >= 0
-        # terms of many examples: by example
-        self.size, self.n_heavy = self.blocks * BLOCK, len(heavy)
-        self.head = np.concatenate([[0], np.cumsum(np.bincount(where[at], minlength=self.size))]).astype(np.int64)
-        self.head_slot, self.head_weight = self.slot[terms[at]], weights[at]
+        # terms of many examples: by term, block and place in the block
+        table = np.zeros((len(heavy), self.blocks * BLOCK), np.float32)
+        table[self.slot[terms[at]], where[at]] = weights[at]
+        self.table = table.reshape(len(heavy), self.blocks, BLOCK)
+        self.most = self.table.max(axis=2, initial=0)
         # the others: by term
         terms, weights, where = terms[~at], weights[~at], where[~at]
         order = np.argsort(terms, kind="stable")
         self.where, self.sparse = where[order], weights[order]
-        self.starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=n))]).astype(np.int32)
-
-    def products(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """What heavy terms add to each query's cosines, in single precision."""
-        if self.matrix is None:  # built where it is used, so that it is not sent
-            self.matrix = np.zeros((self.n_heavy, self.size), np.float32)
-            self.matrix[self.head_slot, np.repeat(np.arange(self.size), np.diff(self.head))] = self.head_weight
-        q = np.zeros((len(queries), self.n_heavy), np.float32)
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=n))]).astype(np.int64)
+
+    def bounds(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What heavy terms add at most to the cosines of each block, for each query; in single precision, with room for its rounding."""
+        q = np.zeros((len(queries), len(self.table)), np.float32)
         for i, (t, w) in enumerate(queries):
             at = self.slot[t] >= 0
             q[i, self.slot[t[at]]] = w[at]
-        return q @ self.matrix
+        return q @ self.most + (len(self.table) + 2) * 2.0**-22
 
-    def search(self, t: np.ndarray, w: np.ndarray, k: int, product: np.ndarray | None = None) -> list[tuple[float, int]]:
-        """The k best (cosine, position), exactly; ties go to the lower id. All examples that rounding could bring among the k best are
-        scored again in double precision."""
+    def search(self, t: np.ndarray, w: np.ndarray, k: int, bound: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """The k best (cosine, position), exactly; ties go to the lower id."""
         if not self.blocks:
             return []
-        product = self.products([(t, w)])[0] if product is None else product
+        bound = self.bounds([(t, w)])[0] if bound is None else bound
         slot = self.slot[t]
         light = slot < 0
-        starts, ends = self.starts[t[light]].astype(np.int64), self.starts[t[light] + 1].astype(np.int64)
+        starts, ends = self.starts[t[light]], self.starts[t[light] + 1]
         at = spread(starts, ends - starts)
-        part = np.bincount(self.where[at], np.repeat(w[light], ends - starts) * self.sparse[at], self.size)
-        query = np.zeros(self.n_heavy)
-        query[slot[~light]] = w[~light]
-        about = (part + product)[: len(self.ids)]
-        # each of two sums of unit vectors is off by n_heavy roundings at most
-        slack = 2 * (self.n_heavy + 2) * 2.0**-23
-        found = np.flatnonzero(about >= np.partition(about, -k)[-k] - slack) if len(about) > k else np.arange(len(about))
-        many = self.head[found + 1] - self.head[found]
-        at = spread(self.head[found], many)
-        cosines = part[found] + np.bincount(np.repeat(np.arange(len(found)), many), query[self.head_slot[at]] * self.head_weight[at], len(found))
-        best = sorted((-round(c, 12), r, p, c) for c, r, p in zip(cosines.tolist(), self.rank[found].tolist(), found.tolist(), strict=True))[:k]
+        # cosines of the light terms, exact; the greatest of a block is their part of its bound
+        part = np.bincount(self.where[at], np.repeat(w[light], ends - starts) * self.sparse[at], self.blocks * BLOCK).reshape(self.blocks, BLOCK)
+        bound = bound + part.max(axis=1)
+        query, rows = w[~light], slot[~light]
+        cosines = np.full((self.blocks, BLOCK), -1.0)
+
+        def fill(blocks: np.ndarray) -> None:
+            held = self.table[rows[:, None], blocks].reshape(len(rows), len(blocks) * BLOCK)
+            cosines[blocks] = part[blocks] + (query @ held).reshape(len(blocks), BLOCK)
+
+        # enough blocks of the highest bounds that k examples are in them
+        first = np.argsort(-bound, kind="stable")[: max(FIRST, k // BLOCK + 2)]
+        fill(first)
+        cosines.reshape(-1)[len(self.ids) :] = -1.0
+        flat = cosines.reshape(-1)
+        least = np.partition(flat, -k)[-k] if len(flat) > k else -1.0
+        rest = bound >= least - 1e-9
+        rest[first] = False
+        if rest.any():
+            fill(np.flatnonzero(rest))
+            flat[len(self.ids) :] = -1.0
+        top = np.flatnonzero(flat >= max(0.0, np.partition(flat, -k)[-k] - 1e-9 if len(flat) > k else 0.0))
+        best = sorted((-round(c, 12), r, p, c) for c, r, p in zip(flat[top].tolist(), self.rank[top].tolist(), top.tolist(), strict=True))[:k]
         return [(round(c, 14), p) for *_, p, c in best]
 
     def search_all(self, rows: list[tuple], k: int) -> Iterator[list[tuple[float, int]]]:
-        """search() for rows of (terms, counts, n_words), STEP at once."""
+        """search() for rows of (terms, counts), STEP at once."""
         for at in range(0, len(rows), STEP):
             queries = [self.weights(*r) for r in rows[at : at + STEP]]
-            for (t, w), p in zip(queries, self.products(queries) if self.blocks else queries, strict=True):
+            for (t, w), p in zip(queries, self.bounds(queries) if self.blocks else queries, strict=True):
                 yield self.search(t, w, k, p)
 
     def vote(self, found: list[tuple[float, int]]) -> float:
@@ -301,7 +319,7 @@ class Index:
 
     def score(self, rows: list[tuple]) -> Iterator[tuple[float, list, list]]:
         """Score, neighbours and cosines for rows of (terms, counts, n_words)."""
-        found = self.search_all([r for r in rows if r[2]], self.k)
+        found = self.search_all([r[:2] for r in rows if r[2]], self.k)
         for r in rows:
             near = next(found) if r[2] else []
             if not near:
@@ -333,7 +351,8 @@ def fit_curve(votes: list[float], marks: list[int]) -> tuple[float, float] | Non
 def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES, k: int = K) -> DataFrame:
     """doc_id, held_out, score, predicted, neighbours, cosines."""
     context = docs.sparkSession.sparkContext
-    sample = materialize(examples_of(docs, labels, doc_id, text, label, examples), "toxic-examples")
+    sample, total = examples_of(docs, labels, doc_id, text, label, examples)
+    sample = materialize(sample, "toxic-examples")
     n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     counts = term_counts(sample)
     vocabulary = counts.column("term").combine_chunks()
@@ -349,7 +368,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     got = vectors.toArrow()
     rows = list(zip(*(got.column(i).to_pylist() for i in range(4)), strict=True))
     plain = [r for r in rows if not r[3]]
-    index.base = sum(r[1] for r in plain) / (len(plain) + 1)
+    whole = {kind: total[kind] / n[kind] for kind in n}  # documents that an example stands for
+    index.base = sum(whole[1] for r in plain if r[1]) / (sum(whole[r[1]] for r in plain) + 1)
     index.packed = sorted(r for r in rows if r[3])
     sent = context.broadcast(index)
 
@@ -357,13 +377,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
         index = sent.value.built()
 
         def run(b: pa.RecordBatch):
-            got = index.votes_without(b.column(0).to_pylist(), [(*unpack(v), n) for v, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)])
+            got = index.votes_without(b.column(0).to_pylist(), [unpack(v) for v in b.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.float64()), b.column(1)], ["vote", "toxic"])
 
         return run
 
     votes = map_arrow(vectors.filter("n_words > 0"), make_votes, "vote double, toxic int").filter("vote is not null").orderBy("vote", "toxic").collect()
     curve = fit_curve([r.vote for r in votes], [r.toxic for r in votes])
+    if curve:
+        curve = (curve[0] + math.log(whole[1] / whole[0]), curve[1])
 
     def make():
         index = sent.value.built()

@@ -18,12 +18,12 @@ def test_block_max_search_is_exact():
         rows = []
         for i in rng.permutation(n).tolist():
             t = sorted(rng.choice(terms, rng.integers(1, 4), replace=False).tolist())
-            rows.append((i, int(rng.integers(2)), t, rng.integers(1, 4, len(t)).tolist(), int(rng.integers(1, 60))))
+            rows.append((i, int(rng.integers(2)), t, rng.integers(1, 4, len(t)).tolist()))
         index.build(rows)
         dense = {r[0]: index.weights(*r[2:]) for r in rows}
         for _ in range(30):
             t = sorted(rng.choice(terms, 2, replace=False).tolist())
-            q = index.weights(t, [1, 2], int(rng.integers(1, 60)))
+            q = index.weights(t, [1, 2])
 
             def cosine(i, q=q):
                 d = dict(zip(dense[i][0].tolist(), dense[i][1].tolist(), strict=True))
@@ -49,6 +49,49 @@ def test_held_out_accuracy(spark):
     assert abs(np.mean([s for *_, s in held]) - np.mean([y for _, y, _ in held])) < 0.03
 
 
+def test_scores_end_to_end_against_dense_brute_force(spark):
+    """Votes of the k nearest of all examples by a full cosine over all terms, written anew, and the same curve."""
+    d = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()] + [(10**6, "wretch " * 30_000 + "end")]
+    marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in toxicity.score_toxicity(frame, spark.read.parquet(f"{d}/labels.parquet")).collect()}
+
+    def terms(text):
+        return Counter(x for w in re.findall(r"[^\W\d_]+", (text or "").lower()) for x in ([w, w[:5] + "-"] if len(w) > 5 else [w]))
+
+    bags, of_text = {i: terms(t) for i, t in docs}, {}
+    for i, t in docs:
+        if i in marks and py_fold(i):
+            of_text.setdefault(t, []).append(i)
+    examples = {min(ids): int(sum(marks[i] for i in ids) * 2 >= len(ids)) for ids in of_text.values()}
+    toxic = [i for i in examples if examples[i]]
+    n1, n0 = (Counter(x for i in examples if examples[i] == y for x in bags[i]) for y in (1, 0))
+    df = Counter(x for b in bags.values() for x in b)
+    weight, a, b = {}, len(toxic), len(examples) - len(toxic)
+    for x in n1 | n0:
+        p = (n1[x] + n0[x]) / (a + b)
+        z = (n1[x] / a - n0[x] / b) / math.sqrt(p * (1 - p) * (1 / a + 1 / b) + 1e-12)
+        weight[x] = (math.log((len(docs) + 1) / (df[x] + 1)) + 1e-6) * np.logaddexp(0, z)
+
+    def vector(bag):
+        v = {x: (1 + math.log(c)) * weight[x] for x, c in bag.items() if x in weight}
+        norm = math.sqrt(sum(y * y for y in v.values())) or 1.0
+        return {x: y / norm for x, y in v.items()}
+
+    vectors = {i: vector(bags[i]) for i in bags}
+
+    def vote(i, leave=None):
+        near = sorted((-round(sum(y * vectors[e].get(x, 0.0) for x, y in vectors[i].items()), 6), e) for e in examples if e != leave)[: toxicity.K]
+        w = [(1 / (1 + min(c, 1.0) + toxicity.NEAR) if c > -1 else 1 / toxicity.NEAR, e) for c, e in near]
+        return sum(x * examples[e] for x, e in w) / sum(x for x, _ in w)
+
+    curve = toxicity.fit_curve(*zip(*sorted((vote(i, i), y) for i, y in examples.items() if bags[i]), strict=True))
+    for i, t in docs:
+        want = 1 / (1 + math.exp(-(curve[0] + curve[1] * vote(i)))) if bags[i] else sum(examples[e] for e in examples if not bags[e]) / (1 + sum(not bags[e] for e in examples))
+        assert abs(got[i].score - want) < 0.02, (i, got[i].score, want)
+
+
 def test_toxicity_of_odd_rows(spark):
     train = [i for i in range(1, 400) if py_fold(i)]
     docs = [(i, "you utter scoundrel wretch" if i % 4 == 0 else "a calm and plain text") for i in train] + [(None, "wretch"), (-1, None), (-2, ""), (-3, "wretch scoundrel " * 9), (-3, "wretch")]
