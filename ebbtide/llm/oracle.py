@@ -31,12 +31,16 @@ OP9 = f"""
     SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(m) FROM reach r WHERE r.doc_id = d.doc_id) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id"""
 
 _close = lambda i: f"""
-    p{i} AS (SELECT source, doc_id, size FROM (SELECT f.*, row_number() OVER (PARTITION BY f.source ORDER BY abs(gap - size), q, f.doc_id NULLS FIRST) AS nth FROM f JOIN g{i - 1} g ON f.source IS NOT DISTINCT FROM g.source
-        WHERE q IS NOT NULL AND NOT fits AND abs(gap - size) < abs(gap) AND NOT list_contains(g.taken, f.rowid)) WHERE nth = 1),
-    g{i} AS (SELECT g.source, gap - coalesce(p.size, 0) AS gap, CASE WHEN p.size IS NULL THEN g.taken ELSE list_append(g.taken, (SELECT min(f.rowid) FROM f WHERE f.doc_id = p.doc_id)) END AS taken FROM g{i - 1} g LEFT JOIN p{i} p ON g.source IS NOT DISTINCT FROM p.source)"""
+    p{i} AS (SELECT source, row, size FROM (SELECT f.*, row_number() OVER (PARTITION BY f.source ORDER BY abs(gap - size), q, row) AS nth_ FROM f JOIN g{i - 1} g ON f.source IS NOT DISTINCT FROM g.source
+        WHERE q IS NOT NULL AND NOT fits AND abs(gap - size) < abs(gap) AND NOT list_contains(g.taken, row)) WHERE nth_ = 1),
+    g{i} AS (SELECT g.source, gap - coalesce(p.size, 0) AS gap, CASE WHEN p.size IS NULL THEN g.taken ELSE list_append(g.taken, p.row) END AS taken FROM g{i - 1} g LEFT JOIN p{i} p ON g.source IS NOT DISTINCT FROM p.source)"""
+
+_measure = "floor(1024 * sqrt(size::DOUBLE))::BIGINT"
 
 OP10 = f"""
-    WITH s AS (SELECT row_number() OVER () AS rowid, doc_id, source, coalesce(len(regexp_extract_all(text, {WORDS})), 0)::BIGINT AS size, {_unit("'mix-1:' || coalesce(doc_id::VARCHAR, '')")} AS u FROM documents),
+    WITH s0 AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {WORDS})), 0)::BIGINT AS size, md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':' || coalesce('s' || source, '')) AS key FROM documents),
+    s1 AS (SELECT *, row_number() OVER (PARTITION BY key) - 1 AS nth FROM s0),
+    s AS (SELECT doc_id, source, size, key || ':' || nth AS row, {_unit("CASE WHEN nth = 0 THEN key ELSE key || ':' || nth END")} AS u FROM s1),
     a AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS nth FROM s GROUP BY source),
     b AS (SELECT *, (nth - 1) % 3 + 1 AS w, 3 * source_size AS cap, (3 * source_size)::DOUBLE / ((nth - 1) % 3 + 1) AS ratio FROM a),
     c AS (SELECT *, ((sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0))::DOUBLE / (sum(w) OVER () - coalesce(sum(w) OVER o, 0))::DOUBLE) AS level FROM b WINDOW o AS (ORDER BY ratio, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -44,10 +48,15 @@ OP10 = f"""
     t0 AS (SELECT source, source_size, ratio <= c.level AS capped, CASE WHEN ratio <= c.level THEN cap::DOUBLE ELSE l.level * w END AS target FROM c, l),
     t AS (SELECT *, CASE WHEN capped THEN 3 ELSE coalesce(floor(target / nullif(source_size, 0)), 0) END::BIGINT AS whole FROM t0),
     r AS (SELECT *, greatest(target - (whole * source_size)::DOUBLE, 0.0) AS rest FROM t),
-    q AS (SELECT s.*, r.source_size, r.target, r.whole, r.rest, CASE WHEN rest / nullif(r.source_size, 0) > 0 AND rest / nullif(r.source_size, 0) < 1 THEN (u / (1 - u)) / ((rest / r.source_size) / (1 - rest / r.source_size)) END AS q FROM s JOIN r ON s.source IS NOT DISTINCT FROM r.source),
-    f AS (SELECT *, q IS NOT NULL AND sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) <= rest AS fits FROM q),
-    g0 AS (SELECT source, max(rest) - sum(CASE WHEN fits THEN size ELSE 0 END) AS gap, []::BIGINT[] AS taken FROM f WHERE q IS NOT NULL GROUP BY source),{_close(1)},{_close(2)},{_close(3)}
-    SELECT f.doc_id, size, source_size, target, size * copies AS taken, copies FROM (
-        SELECT f.*, whole + (fits OR coalesce(list_contains(g3.taken, f.rowid), false))::INT AS copies FROM f LEFT JOIN g3 ON f.source IS NOT DISTINCT FROM g3.source) f"""
+    z AS (SELECT s.source, size, max(rest) AS rest, (count(*) * size)::BIGINT AS words FROM s JOIN r ON s.source IS NOT DISTINCT FROM r.source WHERE size > 0 AND rest > 0 GROUP BY s.source, size),
+    y AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS larger, sum(words * {_measure}) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS mass FROM z),
+    x AS (SELECT *, (rest - larger) / mass AS rate FROM y),
+    i AS (SELECT source, max(size) AS top, arg_max(rate, size) AS rate, arg_max(larger, size) AS certain FROM x WHERE rate * {_measure} < 1 GROUP BY source),
+    e0 AS (SELECT s.*, r.source_size, r.target, r.whole, rest - coalesce(certain, 0) AS left_over, coalesce(CASE WHEN size > top THEN 1.0 ELSE rate * {_measure} END, 0.0)::DOUBLE AS p FROM s JOIN r ON s.source IS NOT DISTINCT FROM r.source LEFT JOIN i ON s.source IS NOT DISTINCT FROM i.source),
+    q AS (SELECT *, CASE WHEN p > 0 AND p < 1 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM e0),
+    f AS (SELECT *, q IS NOT NULL AND sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, row ROWS UNBOUNDED PRECEDING) <= left_over AS fits FROM q),
+    g0 AS (SELECT source, max(left_over) - sum(CASE WHEN fits THEN size ELSE 0 END) AS gap, []::VARCHAR[] AS taken FROM f WHERE q IS NOT NULL GROUP BY source),{_close(1)},{_close(2)},{_close(3)}
+    SELECT f.doc_id, size, source_size, target, size * copies AS taken, copies, p FROM (
+        SELECT f.*, whole + (p >= 1 OR fits OR coalesce(list_contains(g3.taken, row), false))::INT AS copies FROM f LEFT JOIN g3 ON f.source IS NOT DISTINCT FROM g3.source) f"""
 
 ORACLE = {"op1_hamming_topk": OP1, "op7_rendezvous_sharding": OP7, "op9_jaccard_join": OP9, "op10_source_mixing": OP10}

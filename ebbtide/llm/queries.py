@@ -63,7 +63,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs_table(spark, sf_dir)).drop("rid")
+    return mixing.mix(docs_table(spark, sf_dir)).drop("key", "nth")
 
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -89,14 +89,43 @@ def test_mix_of_odd_rows(spark):
     assert mixing.mix(empty_docs(spark)).count() == 0
 
 
-def test_mix_caps_a_small_source_and_keeps_the_pareto_order(spark):
-    docs = [(i, "w " * (1 + i % 7), "a" if i < 3 else "b" if i < 500 else "c") for i in range(900)]
-    rows = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
-    check_mix(rows, docs, near=0.01)
-    assert all(r.copies == 3 for r in rows if r.doc_id < 3)
-    for s, ids in (("b", range(3, 500)), ("c", range(500, 900))):
-        mine = sorted((r for r in rows if r.doc_id in ids), key=lambda r: unit(f"{mixing.SEED}:{r.doc_id}"))
-        low = min(r.copies for r in mine)
-        extra = [r.copies > low for r in mine]
-        # a prefix of the order of random odds, and a few closing documents at most
-        assert sum(extra[extra.index(False) :]) <= mixing.CLOSING, s
+def test_mix_caps_a_small_source_and_takes_long_documents_oftener(spark):
+    """Over many seeds, documents come in as often as their p says, certain ones always, and repeat_rows takes what mix says."""
+    docs = [(i, "w " * (1 + i % 7) if i != 40 else "w " * 60, "a" if i < 3 else "b" if i < 120 else "c") for i in range(200)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    seen, want, seeds = defaultdict(int), defaultdict(float), 6
+    for k in range(seeds):
+        rows = mixing.mix(frame, seed=f"try-{k}").collect()
+        check_mix(rows, docs, near=0.05)
+        assert all(r.copies == 3 for r in rows if r.doc_id < 3)
+        whole = {s: min(r.copies for r in rows if docs[r.doc_id][2] == s and r.p < 1) for s in "bc"}
+        for r in rows:
+            if r.doc_id >= 3:
+                group = (docs[r.doc_id][2], r.size)
+                seen[group] += r.copies - whole[docs[r.doc_id][2]]
+                want[group] += r.p
+                assert r.p < 1 or r.copies > whole[docs[r.doc_id][2]]
+    assert len({round(r.p, 9) for r in rows if docs[r.doc_id][2] == "c"}) > 3
+    for g, x in want.items():
+        assert abs(seen[g] - x) <= 4 * math.sqrt(x + 1) + 0.1 * x, (g, seen[g], x)
+
+
+def test_like_rows_and_rows_without_id(spark):
+    rows = [(None, f"words of number {i % 10} " * (1 + i % 3), "a") for i in range(30)] + [(5, "same " * 20, "b")] * 40 + [(6, None, None), (7, "", None), (8, "solo", "c")]
+    extra = [(*r, i, "x", 1) for i, r in enumerate(rows)]
+    results = set()
+    for parts in (1, 7):
+        docs = spark.createDataFrame(extra, "doc_id long, text string, source string, mix_key long, key string, nth int").repartition(parts)
+        mixed = mixing.mix(docs).collect()
+        check_mix(mixed, rows)
+        results.add(tuple(sorted(map(str, (tuple(r)[:6] for r in mixed)))))
+        out = mixing.repeat_rows(docs)
+        assert out.columns == docs.columns
+        taken = defaultdict(int)
+        for r in out.collect():
+            taken[r.doc_id, r.source] += len((r.text or "").split())
+        said = defaultdict(int)
+        for r in mixed:
+            said[r.doc_id] += r.taken
+        assert {k: sum(v for (d, _), v in taken.items() if d == k) for k in said} == dict(said)
+    assert len(results) == 1
