@@ -43,7 +43,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score_toxicity(docs_table(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score_toxicity(docs_table(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("digest")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ the highest counts; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -40,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import fold_of, map_arrow, materialize, text_of
+from ebbtide.llm.common import fold_of, fresh_name, map_arrow, materialize, sift, text_of
 
 #: Bound of the labelled sample that examples are drawn from.
 EXAMPLES = 4_000
@@ -185,7 +186,7 @@ def document_frequencies(vectors: DataFrame, size: int) -> np.ndarray:
 
 
 def vectors_of(examples: DataFrame, sent) -> DataFrame:
-    """doc_id, toxic, vector (packed terms and counts), n_words."""
+    """doc_id, toxic, vector (packed terms and counts), n_words, digest of the text."""
 
     def make():
         vocabulary = sent.value
@@ -194,12 +195,14 @@ def vectors_of(examples: DataFrame, sent) -> DataFrame:
             at = 0
             for starts, terms, counts, total in term_rows(b.column(2).to_pylist(), vocabulary):
                 packed = [pack(terms[i:j], counts[i:j]) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(total)), b.column(1).slice(at, len(total)), pa.array(packed, pa.binary()), pa.array(total)], ["doc_id", "toxic", "vector", "n_words"])
+                same = [b.column(i).slice(at, len(total)) for i in (0, 1)]
+                digests = [hashlib.md5((t or "").encode("utf-8", "surrogatepass")).digest() for t in b.column(2).slice(at, len(total)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(packed, pa.binary()), pa.array(total), pa.array(digests, pa.binary())], ["doc_id", "toxic", "vector", "n_words", "digest"])
                 at += len(total)
 
         return run
 
-    return map_arrow(examples.select("doc_id", "toxic", "text"), make, "doc_id long, toxic int, vector binary, n_words long")
+    return map_arrow(examples.select("doc_id", "toxic", "text"), make, "doc_id long, toxic int, vector binary, n_words long, digest binary")
 
 
 @dataclass
@@ -349,7 +352,7 @@ def fit_curve(votes: list[float], marks: list[int]) -> tuple[float, float] | Non
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES, k: int = K) -> DataFrame:
-    """doc_id, held_out, score, predicted, neighbours, cosines."""
+    """doc_id, held_out, score, predicted, neighbours, cosines, digest of the text."""
     context = docs.sparkSession.sparkContext
     sample, total = examples_of(docs, labels, doc_id, text, label, examples)
     sample = materialize(sample, "toxic-examples")
@@ -364,7 +367,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     documents = materialize(vectors_of(texts, words).drop("toxic"), "toxic-documents")
     idf = np.log((documents.count() + 1) / (document_frequencies(documents, len(lean)) + 1)) + 1e-6
     index = Index(idf * lean, k=k)
-    vectors = materialize(vectors_of(sample, words).repartition(24), "toxic-vectors")
+    vectors = materialize(vectors_of(sample, words).drop("digest").repartition(24), "toxic-vectors")
     got = vectors.toArrow()
     rows = list(zip(*(got.column(i).to_pylist() for i in range(4)), strict=True))
     plain = [r for r in rows if not r[3]]
@@ -396,9 +399,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
             for at in range(0, len(vectors), CHUNK):
                 got += index.score([(*unpack(v), n) for v, n in zip(vectors[at : at + CHUNK], n_words[at : at + CHUNK], strict=True)])
             cols = [pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "score", "neighbours", "cosines"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols, b.column(3)], ["doc_id", "score", "neighbours", "cosines", "digest"])
 
         return run
 
-    scored = map_arrow(documents, make, "doc_id long, score double, neighbours array<long>, cosines array<double>")
-    return scored.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "cosines")
+    scored = map_arrow(documents, make, "doc_id long, score double, neighbours array<long>, cosines array<double>, digest binary")
+    return scored.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "cosines", "digest")
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the rows that are predicted toxic. Rows are told apart by id and text, so a row without id is judged like any other."""
+    key, body = fresh_name("toxic_id", docs), fresh_name("toxic_text", docs)
+    gone = score_toxicity(docs, labels, doc_id, text).filter("predicted = 1")
+    gone = materialize(gone.select(F.col("doc_id").alias(key), F.col("digest").alias(body)).distinct(), "toxic-gone")
+    mine = docs[doc_id].cast("long")
+    kept, asked = sift(docs, [mine], gone, [F.col(key)])
+    return kept.unionByName(asked.join(gone, mine.eqNullSafe(F.col(key)) & (F.unhex(F.md5(F.coalesce(docs[text], F.lit("")).cast("binary"))) == F.col(body)), "left_anti"))
