@@ -2,15 +2,14 @@
 target weights, and the rest is encoded. Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next one's docs; all but the last return the columns of docs.
 
-Cases: nulls, empty texts, empty tables and extra columns are handled as the operators' docstrings say. A row without id is not
-scored by id: it stays in the toxicity and near-duplicate stages, and mixes by its own draw. Rows that repeat an id are judged together
-in the toxicity stage (one toxic row rejects the id).
+Cases: nulls, empty texts, empty tables and extra columns are handled as the operators' docstrings say. The toxicity and near-duplicate
+stages tell rows apart by id and text, so rows without id and rows that repeat an id are judged each by its own text; rows that repeat
+both stay or go together.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ebbtide.llm import jaccard, mixing, pii, sentencepieces, toxicity
 from ebbtide.llm.common import materialize
@@ -18,9 +17,7 @@ from ebbtide.llm.queries import vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    gone = scored.filter("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("toxic_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("toxic_id"), "left_anti")
+    return toxicity.reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
