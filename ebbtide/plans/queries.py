@@ -169,7 +169,8 @@ def latency_histogram(spark, sf_dir):
         SELECT c, (SELECT min(s) FROM touched WHERE t = 1 AND s > c) AS first, CASE WHEN c < 17 THEN 17 END AS boundary FROM cursors)
     SELECT c AS last_committed, CASE WHEN boundary IS NOT NULL AND (first IS NULL OR boundary <= first) THEN boundary WHEN first IS NULL THEN c + 1 ELSE first END AS start_snapshot,
         CASE WHEN boundary IS NOT NULL AND (first IS NULL OR boundary <= first) THEN boundary - 1 WHEN first IS NULL THEN c WHEN boundary <= least(60, first + 7) THEN boundary - 1 ELSE least(60, first + 7) END AS end_snapshot,
-        first IS NOT NULL AND (boundary IS NULL OR boundary > first) AS has_changes, boundary IS NOT NULL AND (first IS NULL OR boundary <= first) AS terminal, boundary AS terminal_at_snapshot FROM f""")
+        first IS NOT NULL AND (boundary IS NULL OR boundary > first) AS has_changes, boundary IS NOT NULL AND (first IS NULL OR boundary <= first) AS terminal, coalesce(boundary <= least(60, first + 7), boundary IS NOT NULL) AS schema_changes_pending,
+        CASE WHEN first IS NULL OR boundary <= first OR boundary <= least(60, first + 7) THEN boundary END AS terminal_at_snapshot FROM (SELECT c, first, boundary FROM f) AS f""")
 def dml_windows(spark, sf_dir):
     """The windows of consumers at twelve cursors, eight snapshots each, with a shape change at snapshot 17."""
     c = scenarios.touched_catalog(spark, _users(spark, sf_dir), _orders(spark, sf_dir), 60)
@@ -177,8 +178,8 @@ def dml_windows(spark, sf_dir):
     rows = []
     for cursor in range(0, 60, 5):
         w = dml_window(cursor, 60, 8, next((s for s in touched if s > cursor), None), 17 if cursor < 17 else None)
-        rows.append((cursor, w[0], w[1], w[2], w[4], w[5]))
-    return spark.createDataFrame(rows, "last_committed long, start_snapshot long, end_snapshot long, has_changes boolean, terminal boolean, terminal_at_snapshot long")
+        rows.append((cursor, w[0], w[1], w[2], w[3], w[4], w[5]))
+    return spark.createDataFrame(rows, "last_committed long, start_snapshot long, end_snapshot long, has_changes boolean, schema_changes_pending boolean, terminal boolean, terminal_at_snapshot long")
 
 
 # ---- the catalog log -----------------------------------------------------------------------------------------------------
@@ -286,6 +287,8 @@ def demo(spark: SparkSession, sf_dir: str) -> tuple[Cdc, Lake]:
         return _demo[key]
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         root = tempfile.mkdtemp(prefix="ebbtide-lake-")

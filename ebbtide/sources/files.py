@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 from ebbtide.errors import Conflict
 
 
+#: Where a file appears whole when it is closed, and only if none is there.
+OBJECT_STORES = ("s3a", "s3", "gs", "abfs", "abfss")
+
+
 class Files:
     def __init__(self, spark: SparkSession, root: str):
         self.root = root.rstrip("/")
@@ -29,27 +35,33 @@ class Files:
             stream.close()
 
     def create(self, name: str, text: str) -> None:
-        """Writes beside and renames into place, which fails if another writer was first."""
+        """Makes the file with all its content at once, or raises Conflict if it is there. A writer that dies leaves at most a file that nobody
+        reads beside it. A local store links the finished file into place; an object store makes a file visible as a whole when it
+        is closed, on condition that there is none; others rename on that condition."""
         import uuid
 
-        beside = self._path(f"{name}.{uuid.uuid4().hex}.tmp")
-        stream = self._fs.create(beside, False)
-        try:
-            stream.write(bytearray(text.encode()))
-        finally:
-            stream.close()
-        target = self._path(name)
+        scheme, target, data = self._fs.getUri().getScheme(), self._path(name), bytearray(text.encode())
+        beside = target if scheme in OBJECT_STORES else self._path(f"{name}.{uuid.uuid4().hex}.tmp")
         try:
-            # a claim that only one writer can make, then the content under its final name
-            if not self._fs.createNewFile(self._path(f"{name}.claim")):
-                raise Conflict(f"{name} exists already")
-            if self._fs.exists(target) or not self._fs.rename(beside, target):
+            if self._fs.exists(target):
                 raise Conflict(f"{name} exists already")
+            stream = self._fs.create(beside, False)
+            try:
+                stream.write(data)
+            finally:
+                stream.close()
+            if scheme == "file":
+                os.link(beside.toUri().getPath(), target.toUri().getPath())
+            elif beside is not target:
+                none = self._jvm.java.lang.reflect.Array.newInstance(self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
+                self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(beside, target, none)
+        except Conflict:
+            raise
         except Exception as e:
-            self._fs.delete(beside, False)
-            if isinstance(e, Conflict):
-                raise
             raise Conflict(f"{name}: {e}") from e
+        finally:
+            if beside is not target:
+                self._fs.delete(beside, False)
 
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
