@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -130,14 +132,25 @@ def slices(b: pa.RecordBatch, text: int, most_bytes: int = 1 << 20) -> Iterator[
         at = end
 
 
+def give_back() -> None:
+    """Returns freed memory of a Python worker to the system; workers live on between tasks and would hold their peak."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
     """mapInArrow where make() is called once for each task and returns a function from a RecordBatch to one or an iterable of them."""
 
     def run(batches: Iterator) -> Iterator:
         f = make()
-        for b in batches:
-            if b.num_rows:
-                yield from f(b)
+        try:
+            for b in batches:
+                if b.num_rows:
+                    yield from f(b)
+        finally:
+            del f
+            give_back()
 
     ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -2,8 +2,8 @@
 
 Method: size-banded tiles, hashed bitmap signatures whose bit counts bound the overlap from above, then exact intersection.
 
-1. Sets. One row a document: set size, digest of the sorted set, and its shingles in the lower part of the hash range (twice the share by
-   which similar sets may differ; more where a set is small). Documents with equal sets become one node.
+1. Sets. One row a document: set size, digest of the sorted set, and its shingles in the lower part of the hash range (one and a half
+   times the share of a prefix; more where a set is small). Documents with equal sets become one node.
 2. Tiles. Shingles are ordered: those of that range by the number of nodes that have them, then all others by hash. Two sets with
    similarity t or more share one of the first n - ceil(t n) + 1 shingles in any one order. Most of these are shingles that no other node
    has, and a node with nothing else among them takes no further part. The rest make tiles: nodes that share a shingle. Of tiles with the
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide.functions.ship import ship_package
-from ebbtide.llm.common import discard, fresh_name, map_arrow, materialize, sift, slices
+from ebbtide.llm.common import discard, fresh_name, give_back, map_arrow, materialize, sift, slices
 from ebbtide.llm.components import components
 
 #: Bits of the smallest bitmap; larger sets have the power of two from their size on.
@@ -133,7 +133,7 @@ def _prefix(n, percent: int):
 def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, body (digest of the text), n, digest of the whole sorted set, keys (all shingles of the counted range, then the next by hash up
     to the prefix length), counted (how many keys are of that range)."""
-    limit = np.uint64(min(1 << 63, 2 * (100 - percent) * (1 << 64) // 100))
+    limit = np.uint64(min(1 << 63, 3 * (100 - percent) * (1 << 64) // 200))
 
     def make():
         shingler = Shingler(width)
@@ -317,6 +317,8 @@ def _candidates(tiles: DataFrame, roots: DataFrame | None, arrays: DataFrame, pe
             held = t.slice(cut[-1]) if cut else t
         if held is not None and held.num_rows:
             yield from pairs(held, cuts(held))
+        held = None
+        give_back()
 
     ship_package(tiles.sparkSession)
     return rows.mapInArrow(run, "a long, b long").distinct()

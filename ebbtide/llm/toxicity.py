@@ -26,6 +26,7 @@ the highest counts; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import math
 import re
@@ -41,12 +42,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import fold_of, fresh_name, map_arrow, materialize, sift, text_of
+from ebbtide.llm.common import fold_of, fresh_name, map_arrow, materialize, sift, slices, text_of
 
 #: Bound of the labelled sample that examples are drawn from.
 EXAMPLES = 4_000
 #: Texts that are cut into terms at once.
-CHUNK = 1000
+CHUNK = 500
 #: Terms in one of so many examples have their postings by example.
 HEAVY = 20
 #: Texts that are scored at once.
@@ -192,13 +193,14 @@ def vectors_of(examples: DataFrame, sent) -> DataFrame:
         vocabulary = sent.value
 
         def run(b: pa.RecordBatch):
-            at = 0
-            for starts, terms, counts, total in term_rows(b.column(2).to_pylist(), vocabulary):
-                packed = [pack(terms[i:j], counts[i:j]) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-                same = [b.column(i).slice(at, len(total)) for i in (0, 1)]
-                digests = [hashlib.md5((t or "").encode("utf-8", "surrogatepass")).digest() for t in b.column(2).slice(at, len(total)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(packed, pa.binary()), pa.array(total), pa.array(digests, pa.binary())], ["doc_id", "toxic", "vector", "n_words", "digest"])
-                at += len(total)
+            for part in slices(b, 2):
+                texts = part.column(2).to_pylist()
+                packed, totals = [], []
+                for starts, terms, counts, total in term_rows(texts, vocabulary):
+                    packed += [pack(terms[i:j], counts[i:j]) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+                    totals.append(total)
+                digests = [hashlib.md5((t or "").encode("utf-8", "surrogatepass")).digest() for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary()), pa.array(np.concatenate(totals)), pa.array(digests, pa.binary())], ["doc_id", "toxic", "vector", "n_words", "digest"])
 
         return run
 
@@ -385,7 +387,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
 
         return run
 
-    votes = map_arrow(vectors.filter("n_words > 0"), make_votes, "vote double, toxic int").filter("vote is not null").orderBy("vote", "toxic").collect()
+    votes = map_arrow(vectors.filter("n_words > 0"), make_votes, "vote double, toxic int").filter("vote is not null").collect()
+    votes.sort()
     curve = fit_curve([r.vote for r in votes], [r.toxic for r in votes])
     if curve:
         curve = (curve[0] + math.log(whole[1] / whole[0]), curve[1])
@@ -395,11 +398,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
         index.curve = curve
 
         def run(b: pa.RecordBatch):
-            vectors, n_words, got = b.column(1).to_pylist(), b.column(2).to_pylist(), []
-            for at in range(0, len(vectors), CHUNK):
-                got += index.score([(*unpack(v), n) for v, n in zip(vectors[at : at + CHUNK], n_words[at : at + CHUNK], strict=True)])
-            cols = [pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols, b.column(3)], ["doc_id", "score", "neighbours", "cosines", "digest"])
+            for at in range(0, b.num_rows, CHUNK):
+                part = b.slice(at, CHUNK)
+                got = list(index.score([(*unpack(v), n) for v, n in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]))
+                cols = [pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols, part.column(3)], ["doc_id", "score", "neighbours", "cosines", "digest"])
 
         return run
 
@@ -412,6 +415,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     key, body = fresh_name("toxic_id", docs), fresh_name("toxic_text", docs)
     gone = score_toxicity(docs, labels, doc_id, text).filter("predicted = 1")
     gone = materialize(gone.select(F.col("doc_id").alias(key), F.col("digest").alias(body)).distinct(), "toxic-gone")
+    gc.collect()  # the broadcasts of the scores go, and with them what workers hold
     mine = docs[doc_id].cast("long")
     kept, asked = sift(docs, [mine], gone, [F.col(key)])
     return kept.unionByName(asked.join(gone, mine.eqNullSafe(F.col(key)) & (F.unhex(F.md5(F.coalesce(docs[text], F.lit("")).cast("binary"))) == F.col(body)), "left_anti"))
