@@ -31,14 +31,13 @@ import hashlib
 import math
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,10 +47,12 @@ from ebbtide.llm.common import fold_of, fresh_name, map_arrow, materialize, sift
 EXAMPLES = 4_000
 #: Texts that are cut into terms at once.
 CHUNK = 500
+#: Words whose terms a task remembers; more only cost memory.
+WORDS = 1 << 17
 #: Terms in one of so many examples have their postings by example.
 HEAVY = 20
 #: Texts that are scored at once.
-STEP = 128
+STEP = 256
 K = 15
 #: Examples in a block, and blocks that are scored first.
 BLOCK, FIRST = 16, 6
@@ -126,31 +127,48 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def term_rows(texts: list, vocabulary: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+class Words(dict):
+    """Numbers of words in order of first appearance, and of each word's terms, -1 where the vocabulary has none; forgets all beyond WORDS."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        super().__init__()
+        self.vocabulary = vocabulary
+        self.terms = array("i")
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        forms = terms_of(word)
+        self.terms.append(self.vocabulary.get(forms[0], -1))
+        self.terms.append(self.vocabulary.get(forms[1], -1) if len(forms) > 1 else -1)
+        return n
+
+    def begin(self) -> None:
+        """To be called where no number of a word is in use."""
+        if len(self) > WORDS:
+            self.clear()
+            self.terms = array("i")
+
+
+def term_rows(texts: list, code: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For CHUNK texts at a time: where each text's terms begin (and the end), terms (numbers, ascending by text), counts, n_words."""
+    size = len(code.vocabulary) + 1
     for at in range(0, len(texts), CHUNK):
-        code: dict[str, int] = {}
+        code.begin()
         words: list[int] = []
         times: list[int] = []
         own, total = [], []
         for t in texts[at : at + CHUNK]:
             c = Counter(words_of(t))
-            words += [code.setdefault(w, len(code)) for w in c]
+            words += map(code.__getitem__, c)
             times += c.values()
             own.append(len(c))
             total.append(c.total())
-        forms = [terms_of(w) for w in code]
-        number = pc.index_in(pa.array(list(chain.from_iterable(forms)), pa.string()), value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        lengths = np.array([len(f) for f in forms], np.int64)
-        starts = np.cumsum(lengths) - lengths
-        word = np.array(words, np.int64)
-        many = lengths[word]
-        terms = number[spread(starts[word], many)]
-        text = np.repeat(np.repeat(np.arange(len(own)), own), many)
+        terms = np.array(code.terms, np.int64).reshape(-1, 2)[np.array(words, np.int64)]
+        keys = np.repeat(np.arange(len(own)) * size, own)[:, None] + terms
         keep = terms >= 0
-        keys, back = np.unique(text[keep] * (len(vocabulary) + 1) + terms[keep], return_inverse=True)
-        counts = np.bincount(back, np.repeat(np.array(times, np.int64), many)[keep], len(keys)).astype(np.int64)
-        text, terms = np.divmod(keys, len(vocabulary) + 1)
+        keys, back = np.unique(keys[keep], return_inverse=True)
+        counts = np.bincount(back, np.broadcast_to(np.array(times, np.int64)[:, None], terms.shape)[keep], len(keys)).astype(np.int64)
+        text, terms = np.divmod(keys, size)
         yield np.searchsorted(text, np.arange(len(own) + 1)), terms, counts, np.array(total, np.int64)
 
 
@@ -190,13 +208,13 @@ def vectors_of(examples: DataFrame, sent) -> DataFrame:
     """doc_id, toxic, vector (packed terms and counts), n_words, digest of the text."""
 
     def make():
-        vocabulary = sent.value
+        code = Words({t: i for i, t in enumerate(sent.value.to_pylist())})
 
         def run(b: pa.RecordBatch):
             for part in slices(b, 2):
                 texts = part.column(2).to_pylist()
                 packed, totals = [], []
-                for starts, terms, counts, total in term_rows(texts, vocabulary):
+                for starts, terms, counts, total in term_rows(texts, code):
                     packed += [pack(terms[i:j], counts[i:j]) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
                     totals.append(total)
                 digests = [hashlib.md5((t or "").encode("utf-8", "surrogatepass")).digest() for t in texts]
@@ -250,65 +268,76 @@ class Index:
         self.slot = np.full(n, -1, np.int32)
         self.slot[heavy] = np.arange(len(heavy))
         at = self.slot[terms] >= 0
-        # terms of many examples: by term, block and place in the block
+        # terms of many examples: by block, term and place in the block
         table = np.zeros((len(heavy), self.blocks * BLOCK), np.float32)
         table[self.slot[terms[at]], where[at]] = weights[at]
-        self.table = table.reshape(len(heavy), self.blocks, BLOCK)
-        self.most = self.table.max(axis=2, initial=0)
+        table = table.reshape(len(heavy), self.blocks, BLOCK)
+        self.most = table.max(axis=2, initial=0)
+        self.table = np.ascontiguousarray(table.transpose(1, 0, 2))
+        del table
         # the others: by term
         terms, weights, where = terms[~at], weights[~at], where[~at]
         order = np.argsort(terms, kind="stable")
         self.where, self.sparse = where[order], weights[order]
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=n))]).astype(np.int64)
 
-    def bounds(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """What heavy terms add at most to the cosines of each block, for each query; in single precision, with room for its rounding."""
-        q = np.zeros((len(queries), len(self.table)), np.float32)
+    def search(self, t: np.ndarray, w: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """The k best (cosine, position) for one query, as in search_many()."""
+        return self.search_many([(t, w)], k)[0]
+
+    def search_many(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        """The k best (cosine, position) for each query (terms, weights), exactly; ties go to the lower id.
+
+        Cosines in single precision choose candidates, with room for its rounding; the candidates' cosines are then exact."""
+        n, size = len(queries), self.blocks * BLOCK
+        if not size:
+            return [[] for _ in queries]
+        heavy, light = [], []
+        q = np.zeros((n, len(self.most)), np.float32)
         for i, (t, w) in enumerate(queries):
-            at = self.slot[t] >= 0
-            q[i, self.slot[t[at]]] = w[at]
-        return q @ self.most + (len(self.table) + 2) * 2.0**-22
-
-    def search(self, t: np.ndarray, w: np.ndarray, k: int, bound: np.ndarray | None = None) -> list[tuple[float, int]]:
-        """The k best (cosine, position), exactly; ties go to the lower id."""
-        if not self.blocks:
-            return []
-        bound = self.bounds([(t, w)])[0] if bound is None else bound
-        slot = self.slot[t]
-        light = slot < 0
-        starts, ends = self.starts[t[light]], self.starts[t[light] + 1]
-        at = spread(starts, ends - starts)
+            slot = self.slot[t]
+            at = slot >= 0
+            heavy.append((slot[at], w[at]))
+            q[i, slot[at]] = w[at]
+            starts, ends = self.starts[t[~at]], self.starts[t[~at] + 1]
+            at, w = spread(starts, ends - starts), np.repeat(w[~at], ends - starts)
+            light.append(np.bincount(self.where[at], w * self.sparse[at], size))
         # cosines of the light terms, exact; the greatest of a block is their part of its bound
-        part = np.bincount(self.where[at], np.repeat(w[light], ends - starts) * self.sparse[at], self.blocks * BLOCK).reshape(self.blocks, BLOCK)
-        bound = bound + part.max(axis=1)
-        query, rows = w[~light], slot[~light]
-        cosines = np.full((self.blocks, BLOCK), -1.0)
-
-        def fill(blocks: np.ndarray) -> None:
-            held = self.table[rows[:, None], blocks].reshape(len(rows), len(blocks) * BLOCK)
-            cosines[blocks] = part[blocks] + (query @ held).reshape(len(blocks), BLOCK)
+        part = np.array(light).reshape(n, self.blocks, BLOCK)
+        room = (len(self.most) + 2) * 2.0**-22
+        bound = q @ self.most + part.max(axis=2) + room
+        cosines = np.full((n, self.blocks, BLOCK), -1.0)
+
+        def fill(pairs: np.ndarray) -> None:
+            """Scores the marked pairs of query and block, block by block."""
+            block, query = np.nonzero(pairs.T)
+            ends = np.searchsorted(block, np.arange(self.blocks), side="right")
+            for b, i, j in zip(range(self.blocks), [0, *ends], ends, strict=False):
+                if i < j:
+                    own = query[i:j]
+                    cosines[own, b] = part[own, b] + q[own] @ self.table[b]
+            cosines.reshape(n, size)[:, len(self.ids) :] = -1.0
 
         # enough blocks of the highest bounds that k examples are in them
-        first = np.argsort(-bound, kind="stable")[: max(FIRST, k // BLOCK + 2)]
+        count = min(max(FIRST, k // BLOCK + 2), self.blocks)
+        first = np.zeros(bound.shape, bool)
+        np.put_along_axis(first, np.argpartition(-bound, count - 1, axis=1)[:, :count], True, axis=1)
         fill(first)
-        cosines.reshape(-1)[len(self.ids) :] = -1.0
-        flat = cosines.reshape(-1)
-        least = np.partition(flat, -k)[-k] if len(flat) > k else -1.0
-        rest = bound >= least - 1e-9
-        rest[first] = False
-        if rest.any():
-            fill(np.flatnonzero(rest))
-            flat[len(self.ids) :] = -1.0
-        top = np.flatnonzero(flat >= max(0.0, np.partition(flat, -k)[-k] - 1e-9 if len(flat) > k else 0.0))
-        best = sorted((-round(c, 12), r, p, c) for c, r, p in zip(flat[top].tolist(), self.rank[top].tolist(), top.tolist(), strict=True))[:k]
-        return [(round(c, 14), p) for *_, p, c in best]
+        flat = cosines.reshape(n, size)
+        kth = lambda: np.partition(flat, -k, axis=1)[:, -k] if size > k else np.full(n, -1.0)
+        fill((bound >= kth()[:, None] - room) & ~first)
+        out = []
+        for least, row, own, (slots, w) in zip(kth(), flat, part.reshape(n, size), heavy, strict=True):
+            top = np.flatnonzero(row >= max(0.0, least - 2 * room))
+            exact = own[top] + self.table[(top // BLOCK)[:, None], slots, (top % BLOCK)[:, None]] @ w
+            best = sorted((-round(c, 12), r, p, c) for c, r, p in zip(exact.tolist(), self.rank[top].tolist(), top.tolist(), strict=True))[:k]
+            out.append([(round(c, 14), p) for *_, p, c in best])
+        return out
 
     def search_all(self, rows: list[tuple], k: int) -> Iterator[list[tuple[float, int]]]:
-        """search() for rows of (terms, counts), STEP at once."""
+        """search_many() for rows of (terms, counts), STEP at once."""
         for at in range(0, len(rows), STEP):
-            queries = [self.weights(*r) for r in rows[at : at + STEP]]
-            for (t, w), p in zip(queries, self.bounds(queries) if self.blocks else queries, strict=True):
-                yield self.search(t, w, k, p)
+            yield from self.search_many([self.weights(*r) for r in rows[at : at + STEP]], k)
 
     def vote(self, found: list[tuple[float, int]]) -> float:
         w = [1 / (1 - min(c, 1.0) + NEAR) for c, _ in found]
