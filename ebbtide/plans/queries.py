@@ -127,13 +127,16 @@ def snapshot_lookup_join(spark, sf_dir):
 
 TOKENS_SQL = f"""{USERS_SQL}, {ORDERS_SQL},
     uv AS (SELECT user_id, day AS b, lead(day) OVER (PARTITION BY user_id ORDER BY day) AS e, event_type FROM last),
-    touched AS (SELECT DISTINCT s, t FROM (SELECT b AS s, 1 AS t FROM uv WHERE event_type <> 'error' UNION ALL SELECT e, 1 FROM uv WHERE event_type <> 'error' UNION ALL SELECT b, 2 FROM v UNION ALL SELECT e, 2 FROM v) WHERE s BETWEEN 1 AND 60)"""
+    all_touched AS (SELECT DISTINCT s, t FROM (SELECT b AS s, 1 AS t FROM uv WHERE event_type <> 'error' UNION ALL SELECT e, 1 FROM uv WHERE event_type <> 'error' UNION ALL SELECT b, 2 FROM v UNION ALL SELECT e, 2 FROM v) WHERE s >= 1),
+    touched AS (SELECT * FROM all_touched WHERE s <= 60)"""
 
 
-@query(f"WITH {TOKENS_SQL} SELECT s AS snapshot_id, 0::BIGINT AS schema_version, string_agg(t::VARCHAR, ',' ORDER BY t) AS table_ids FROM touched GROUP BY s")
+@query(f"WITH {TOKENS_SQL} SELECT s AS snapshot_id, 0::BIGINT AS schema_version, string_agg(t::VARCHAR, ',' ORDER BY t) AS table_ids FROM all_touched GROUP BY s")
 def dml_ticks_query(spark, sf_dir):
-    c = scenarios.touched_catalog(spark, _users(spark, sf_dir), _orders(spark, sf_dir), 60)
-    return dml.dml_ticks(c, 1, 60).select("snapshot_id", "schema_version", F.array_join(F.col("table_ids").cast("array<string>"), ",").alias("table_ids"))
+    """All snapshots of the history, up to the last that a row begins or ends at."""
+    users, orders = _users(spark, sf_dir), _orders(spark, sf_dir)
+    head = scenarios.last_snapshot(users, orders)
+    return dml.dml_ticks(scenarios.touched_catalog(spark, users, orders, head), 1, head).select("snapshot_id", "schema_version", F.array_join(F.col("table_ids").cast("array<string>"), ",").alias("table_ids"))
 
 
 @query(f"WITH {TOKENS_SQL} SELECT s AS snapshot_id, '1' AS table_ids FROM touched WHERE t = 1 AND s BETWEEN 3 AND 25")

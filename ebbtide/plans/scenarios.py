@@ -81,6 +81,11 @@ def commit_frames(spark: SparkSession, n: int) -> tuple[DataFrame, DataFrame]:
     return snapshot, changes
 
 
+def last_snapshot(*versions: DataFrame) -> int:
+    """The greatest snapshot that a row begins or ends at; 1 where there is none."""
+    return max([1, *(v.agg(F.max(F.greatest(BEGIN, END)).alias("n")).first().n or 1 for v in versions)])
+
+
 def touched_catalog(spark: SparkSession, users: DataFrame, orders: DataFrame, n: int) -> Catalog:
     """A catalog whose change maps say which of the tables 1 (users) and 2 (orders) each snapshot wrote to or ended rows of."""
     parts = [versions.select(F.explode(F.array(F.struct(F.col(BEGIN).alias("s"), F.lit("tables_inserted_into").alias("k")), F.struct(F.col(END).alias("s"), F.lit("tables_deleted_from").alias("k")))).alias("x")).select("x.s", "x.k", F.lit(str(i)).alias("v")) for i, versions in enumerate((users, orders), 1)]
