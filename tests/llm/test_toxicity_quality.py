@@ -132,7 +132,10 @@ def test_quality_query(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = QUERIES["op6_quality_rules"](spark, sf_dir).collect()
     assert {r.doc_id: tuple(r)[1:7] for r in rows} == {d: plain(t) for d, t in texts.items()}
-    for r in rows:
+    assert "rejected_by" not in rows[0]
+    judged = quality.judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()
+    assert sorted((r.doc_id, r.kept) for r in judged) == sorted((r.doc_id, r.kept) for r in rows)
+    for r in judged:
         t = quality.Text(texts[r.doc_id])
         assert r.kept == (not r.base_failed and not any(f(t) for f in quality.RULES.values()))
         assert r.rejected_by is None or quality.RULES[r.rejected_by](t)
