@@ -16,9 +16,9 @@ OP7 = f"""
     d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS k, coalesce(text, '') AS x FROM documents),
     sums AS (SELECT doc_id, k, strlen(x) + 16 AS size, xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda h: ('0x' || h)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM d, crc),
     placed AS (
-        SELECT doc_id, size, text_crc32, ('0x' || substr(md5(k), 1, 6))::BIGINT % 256 AS sub, (SELECT arg_min(s, -ln({_unit("k || ':' || s")})) FROM range(40) AS r(s))::INT AS shard, (SELECT arg_min(s, -ln({_unit("k || ':' || s")})) FROM range(41) AS r(s))::INT AS grown_shard
+        SELECT doc_id, size, text_crc32, ('0x' || substr(md5(k || ':' || text_crc32), 1, 6))::BIGINT % 256 AS sub, (SELECT arg_min(s, -ln({_unit("k || ':' || s")})) FROM range(40) AS r(s))::INT AS shard, (SELECT arg_min(s, -ln({_unit("k || ':' || s")})) FROM range(41) AS r(s))::INT AS grown_shard
         FROM sums)
-    SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY sub, doc_id NULLS FIRST) - 1 AS slot, grown_shard FROM placed"""
+    SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY sub, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM placed"""
 
 OP9 = f"""
     WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {WORDS}) AS ws FROM documents),

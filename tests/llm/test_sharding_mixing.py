@@ -43,6 +43,18 @@ def test_shards_of_odd_rows_and_weights(spark):
     assert all(abs(n[i] / 4000 - w[i] / 6.5) < 0.03 for i in range(3))
 
 
+def test_shards_of_rows_that_share_an_id(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 7)
+    rows = [(None, "same")] * 40 + [(None, f"text {i}") for i in range(30)] + [(3, "x")] * 7 + [(3, "x" * 5000), (4, None), (4, "")]
+    docs = spark.createDataFrame([(*r, "k", 1, 2) for r in rows], "doc_id long, text string, k string, shard int, sub int")
+    results = set()
+    for parts in (1, 5):
+        got = sharding.shard_records(docs.repartition(parts), [1.0, 2.0]).collect()
+        check_shards(got, rows, [1.0, 2.0], [1.0, 2.0, 2.0])
+        results.add(tuple(sorted(map(str, got))))
+    assert len(results) == 1
+
+
 def fill(sizes, weights=(1, 2, 3), cap=3):
     """Targets by the loop that the contract words."""
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
