@@ -25,7 +25,7 @@ def test_query(spark, sf_dir):
     assert got == plain(codes, [c for c in codes if c[0] % 100 == 0], 10)
 
 
-@pytest.mark.parametrize("bits,segments,k,n", [(64, 4, 5, 300), (12, 3, 7, 200), (8, 1, 3, 30), (8, 4, 50, 20)])
+@pytest.mark.parametrize("bits,segments,k,n", [(64, 4, 5, 300), (64, 4, 5, 3000), (12, 3, 7, 200), (8, 1, 3, 30), (8, 4, 50, 20)])
 def test_random_codes(spark, bits, segments, k, n):
     rng = random.Random(bits * n)
     codes = [(i, signed(rng.getrandbits(bits), bits)) for i in range(n)]
