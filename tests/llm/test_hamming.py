@@ -42,3 +42,13 @@ def test_empty_and_odd_vectors(spark):
     assert hamming.top_k(none, none.withColumnRenamed("vec_id", "query_id")).count() == 0
     v = spark.createDataFrame([(1, [1.0, -1.0, None, 0.5]), (2, None), (3, [])], "vec_id long, embedding array<double>")
     assert [r.c for r in v.select(hamming.sign_code(v.embedding).alias("c")).collect()] == [9, None, 0]
+
+
+def test_scan_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "SCAN_BLOCK", 5)
+    rng = random.Random(5)
+    codes = [(i, rng.getrandbits(16)) for i in range(400)]
+    queries = codes[:40] + [(1000 + i, codes[0][1]) for i in range(50)]  # a hot query code
+    df = spark.createDataFrame(codes, "vec_id long, code long")
+    got = sorted(map(tuple, hamming.top_k(df, spark.createDataFrame(queries, "query_id long, code long"), 6, 16, 8).collect()))
+    assert got == plain(codes, queries, 6)
