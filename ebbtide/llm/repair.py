@@ -10,9 +10,10 @@ Format of a shard (little-endian throughout):
 Rule r stands for nonterminal first + r; its two sides are ids or earlier nonterminals. No rule crosses the end of a document, so
 a document is a range of symbols and can be decoded alone.
 
-Re-Pair in rounds over arrays: a round counts all neighbouring pairs (through a hashed histogram that bounds counts from above,
-then exactly for the frequent ones), gives the most frequent pairs nonterminals, and replaces their occurrences from left to right. It
-stops when no pair occurs min_count times, or after max_rounds.
+Re-Pair in rounds over arrays: a round counts all neighbouring pairs through a hashed histogram that bounds counts from above, takes
+from each frequent slot the pair seen last in it with its exact count, gives the most frequent of these nonterminals, and replaces their
+occurrences from left to right. A frequent pair that shares its slot can be passed over in a round; other factors part the two in
+the next. It stops when no candidate occurs min_count times, or after max_rounds.
 
 Documents are put in order by range partitioning on (doc_id, hash of the text), so equal or missing ids don't meet in one task; tasks
 encode and cut shards of about shard_ids ids as rows stream by. A shard is one row of a Parquet file with its bytes, which any store that Spark
