@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -139,6 +140,14 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def settle(spark: SparkSession) -> None:
+    """Gives back what the driver holds of steps that are over: Python's garbage first, as it keeps broadcasts and frames, then the JVM's, whose
+    heap would stay as wide as its busiest moment made it. Each call is a full collection, so only for the ends of long steps."""
+    gc.collect()
+    give_back()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
     """mapInArrow where make() is called once for each task and returns a function from a RecordBatch to one or an iterable of them."""
 

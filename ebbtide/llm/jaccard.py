@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide.functions.ship import ship_package
-from ebbtide.llm.common import discard, fresh_name, give_back, map_arrow, materialize, sift, slices
+from ebbtide.llm.common import discard, fresh_name, give_back, map_arrow, materialize, settle, sift, slices
 from ebbtide.llm.components import components
 
 #: Bits of the smallest bitmap; larger sets have the power of two from their size on.
@@ -341,11 +341,13 @@ def _classes(docs: DataFrame, width: int, percent: int, without_id: bool) -> tup
     sets = materialize(wide.select("doc_id", "body", "n", "digest"), "jaccard-sets")
     discard(wide)
     tiles = _tiles(nodes, percent)
+    settle(docs.sparkSession)
     known = materialize(nodes.select("node", "rep", "digest"), "jaccard-nodes")
     discard(nodes)
     arrays = materialize(_arrays(docs, known.join(tiles.select("node").distinct(), "node", "left_semi"), width), "jaccard-arrays")
     links = _links(materialize(_candidates(tiles, None, arrays, percent, every=False), "jaccard-pairs"), arrays, percent)
     found = components(links)
+    settle(docs.sparkSession)
     # a pair that was to join two components may not have linked: whatever still could, is checked
     more = materialize(_links(materialize(_candidates(tiles, found, arrays, percent, every=True), "jaccard-pairs"), arrays, percent), "jaccard-links")
     found = found if more.isEmpty() else components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
@@ -355,6 +357,7 @@ def _classes(docs: DataFrame, width: int, percent: int, without_id: bool) -> tup
     discard(arrays)
     discard(tiles)
     discard(known)
+    settle(docs.sparkSession)
     return sets, classes
 
 

@@ -26,7 +26,6 @@ the highest counts; other columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import math
 import re
@@ -41,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import fold_of, fresh_name, map_arrow, materialize, sift, slices, text_of
+from ebbtide.llm.common import fold_of, fresh_name, map_arrow, materialize, settle, sift, slices, text_of
 
 #: Bound of the labelled sample that examples are drawn from.
 EXAMPLES = 4_000
@@ -444,7 +443,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     key, body = fresh_name("toxic_id", docs), fresh_name("toxic_text", docs)
     gone = score_toxicity(docs, labels, doc_id, text).filter("predicted = 1")
     gone = materialize(gone.select(F.col("doc_id").alias(key), F.col("digest").alias(body)).distinct(), "toxic-gone")
-    gc.collect()  # the broadcasts of the scores go, and with them what workers hold
+    settle(docs.sparkSession)  # the broadcasts of the scores go, and with them what workers hold
     mine = docs[doc_id].cast("long")
     kept, asked = sift(docs, [mine], gone, [F.col(key)])
     return kept.unionByName(asked.join(gone, mine.eqNullSafe(F.col(key)) & (F.unhex(F.md5(F.coalesce(docs[text], F.lit("")).cast("binary"))) == F.col(body)), "left_anti"))
