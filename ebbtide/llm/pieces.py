@@ -16,9 +16,11 @@ import json
 import os
 import re
 from collections.abc import Iterator, Sequence
-from itertools import repeat
+from itertools import groupby, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MARK = "▁"
 MAX_CHUNKS = 1_000_000
@@ -81,6 +83,28 @@ class Model:
 #: Marks a chunk without a blank in front.
 BARE = "\x01"
 _unplain = re.compile(r"(?:\W|_|^)[.,]\s")
+#: White space as Python's re takes it, for RE2.
+_SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+#: A chunk of letters, one pre-token, and perhaps ASCII signs behind them, another. The letters are in every version of Unicode.
+_simple = re.compile(rf"{BARE}?[A-Za-zÀ-ÖØ-öø-ɏ]+[!-/:-@\[-`{{-~]*").fullmatch
+_signs = re.compile(r"[!-/:-@\[-`{-~]+").fullmatch
+IS_SIGN = np.array([_signs(chr(b)) is not None for b in range(256)])
+
+
+def _byte_characters() -> np.ndarray:
+    """The character that byte-level pieces have for each byte; the line end stays, to part words."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = np.zeros(256, "<u4")
+    out[shown] = shown
+    hidden = np.flatnonzero(out == 0)
+    out[hidden] = 256 + np.arange(len(hidden))
+    out[ord("\n")] = ord("\n")
+    return out
+
+
+BYTE_CHARACTERS = _byte_characters()
 
 
 class ByteModel:
@@ -88,11 +112,14 @@ class ByteModel:
 
     def __init__(self, content: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_buffer(content)
         self.tok.no_truncation()
         self.tok.no_padding()
+        # the same model for words that are pre-tokens already
+        self.words = Tokenizer(self.tok.model)
+        self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         spec = json.loads(content)
         # a byte-level piece has one character for each byte
         self.n_bytes = np.zeros(self.tok.get_vocab_size(), np.int64)
@@ -103,6 +130,7 @@ class ByteModel:
         pre, added = spec["pre_tokenizer"] or {}, spec["added_tokens"]
         self.by_chunk = spec["normalizer"] is None and (pre.get("type"), pre.get("use_regex"), pre.get("add_prefix_space")) == ("ByteLevel", True, False)
         self.by_chunk &= not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added)
+        self.by_word = not any(_simple(t["content"]) or _signs(t["content"]) for t in added)
 
     def encode_text(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
@@ -123,29 +151,74 @@ class ByteModel:
         parts[0] = BARE + parts[0]
         return parts
 
-    @staticmethod
-    def odd(chunk: str) -> bool:
-        """Must go to the library alone."""
-        return chunk[:1] == BARE or not chunk or chunk[-1].isspace()
+    @classmethod
+    def split(cls, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The chunks of all texts, as chunks() gives them, and how many each text has. Only texts with runs of white space pass through Python."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        rough = pc.or_(pc.match_substring_regex(texts, _SPACE + "{2}"), pc.match_substring(texts, BARE)).to_numpy(zero_copy_only=False)
+        even = texts.filter(pa.array(~rough)) if rough.any() else texts
+        plain = even
+        for mark in (", ", ". ", ",\n", ".\n"):
+            plain = pc.replace_substring(plain, mark, f" {BARE}{mark}")
+        unplain = pc.match_substring_regex(even, r"(?:[^\pL\pN]|^)[.,]" + _SPACE)
+        even = pc.if_else(unplain, even, plain) if pc.any(unplain).as_py() else plain
+        even = pc.binary_join_element_wise(pa.scalar(BARE, even.type), pc.replace_substring(even, "\n", f" {BARE}\n {BARE}"), pa.scalar("", even.type))
+        parts = pc.split_pattern(even, " ")
+        if rough.any():
+            more = pa.array([cls.chunks(t) for t in texts.filter(pa.array(rough)).to_pylist()], parts.type)
+            place = np.empty(len(texts), np.int64)
+            place[np.concatenate([np.flatnonzero(~rough), np.flatnonzero(rough)])] = np.arange(len(texts))
+            parts = pa.concat_arrays([parts, more]).take(pa.array(place))
+        return parts.flatten(), pc.list_value_length(parts).to_numpy()
+
+    def odd(self, chunk: str) -> int:
+        """How a chunk goes to the library: 0 as pre-tokens, 1 behind a blank, 2 between line ends, each with many others, 3 alone."""
+        if self.by_word and _simple(chunk):
+            return 0
+        if not chunk or chunk[-1].isspace():
+            return 3
+        return 1 if chunk[0] != BARE else 2 if chunk[1:2] and not chunk[1].isspace() else 3
 
     def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and how many each chunk has. Chunks of a blank and a word go to the library as one text; bytes tell where each ends."""
+        """All ids, and how many each chunk has. Most chunks go to the library as one text, and bytes tell where each ends: words of letters
+        and signs without its pre-tokenizer, others behind a blank or between line ends, of which a single one between other characters is a pre-token."""
         ids, counts = [], []
-        for at in range(0, len(chunks), JOINED):
-            part = chunks[at : at + JOINED]
-            if any(map(self.odd, part)):
-                texts = [c[1:] if c[:1] == BARE else " " + c for c in part]
-                for e in self.tok.encode_batch_fast(texts, add_special_tokens=False):
-                    ids.append(np.array(e.ids, np.int32))
-                    counts.append(np.array([len(e.ids)]))
-                continue
-            x = np.array(self.tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.int32)
-            stops = np.cumsum([len(c.encode()) + 1 for c in part])
-            ends = np.searchsorted(np.cumsum(self.n_bytes[x]), stops) + 1
-            ids.append(x)
-            counts.append(np.diff(np.concatenate([[0], ends])))
+        for odd, same in groupby(chunks, self.odd):
+            run = list(same)
+            for at in range(0, len(run), JOINED):
+                part = run[at : at + JOINED]
+                if odd == 3:
+                    texts = [c[1:] if c[:1] == BARE else " " + c for c in part]
+                    for e in self.tok.encode_batch_fast(texts, add_special_tokens=False):
+                        ids.append(np.array(e.ids, np.int32))
+                        counts.append(np.array([len(e.ids)]))
+                    continue
+                if odd == 0:
+                    raw = np.frombuffer("\n".join([c[1:] if c[0] == BARE else " " + c for c in part]).encode(), np.uint8)
+                    cuts = np.append(np.flatnonzero(raw == ord("\n")), len(raw))
+                    stops = cuts - np.arange(len(cuts))
+                    signs = IS_SIGN[raw]
+                    raw = np.insert(raw, np.flatnonzero(signs[1:] & ~signs[:-1]) + 1, ord("\n"))
+                    x = self._ids(self.words, BYTE_CHARACTERS[raw].tobytes().decode("utf-32-le"))
+                elif odd == 1:
+                    stops = np.cumsum([len(c.encode()) + 1 for c in part])
+                    x = self._ids(self.tok, " " + " ".join(part))
+                else:  # the mark's byte stands for the line end behind a chunk
+                    stops = np.cumsum([len(c.encode()) for c in part])
+                    x = self._ids(self.tok, "\n".join([c[1:] for c in part]))
+                ends = np.searchsorted(np.cumsum(self.n_bytes[x]), stops[:-1])
+                if odd == 2:
+                    x, ends = np.delete(x, ends), ends - np.arange(len(ends))
+                else:
+                    ends += 1
+                ids.append(x)
+                counts.append(np.diff(np.concatenate([[0], ends, [len(x)]])))
         return np.concatenate(ids), np.concatenate(counts)
 
+    @staticmethod
+    def _ids(tok, text: str) -> np.ndarray:
+        return np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+
 
 _models: dict[bytes, ChunkTable] = {}
 
@@ -195,7 +268,8 @@ class ChunkTable:
         self.counts[:half], self.hits[:half], self.starts[:half] = counts, hits, np.cumsum(counts) - counts
         self.numbers = {words[i]: j for j, i in enumerate(keep.tolist())}
 
-    def _numbers_of(self, words: list[str]) -> np.ndarray:
+    def _numbers_of(self, words: list[str], times: np.ndarray | None = None) -> np.ndarray:
+        """times: how often each word occurs, where they are distinct."""
         if len(self.numbers) >= self.max_chunks:
             self._compact()
         k = np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int64, len(words))
@@ -204,7 +278,10 @@ class ChunkTable:
             missing = [words[i] for i in at]
             self._add(sorted(dict.fromkeys(missing), key=self.model.odd))
             k[at] = np.fromiter(map(self.numbers.__getitem__, missing), np.int64, len(missing))
-        self.hits[: len(self.numbers)] += np.bincount(k, minlength=len(self.numbers))
+        if times is None:
+            self.hits[: len(self.numbers)] += np.bincount(k, minlength=len(self.numbers))
+        else:
+            self.hits[k] += times
         return k
 
     def _groups(self, texts: Sequence[str | None]) -> Iterator[tuple[list[str], list[int]]]:
@@ -237,6 +314,33 @@ class ChunkTable:
             for i in range(len(sizes)):
                 yield ids[stop[i] : stop[i + 1]]
 
+    def encode_array(self, texts: pa.Array, end_id: int) -> Iterator[np.ndarray]:
+        """The ids of each text with end_id behind them, for models with split(). Words are told apart in Arrow, so that Python meets each distinct
+        one once a call; texts of a few MB in a call bound the arrays in between."""
+        if not self.model.by_chunk:
+            for t in texts.to_pylist():
+                yield np.array([*self.model.encode_text(t or ""), end_id], np.int32)
+            return
+        if not len(texts):
+            return
+        parts, sizes = self.model.split(texts)
+        coded = parts.dictionary_encode()
+        index, distinct = coded.indices.to_numpy(), coded.dictionary
+        words = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), " ")[0].as_py().split(" ")
+        if len(words) != len(distinct):  # some hold blanks
+            words = distinct.to_pylist()
+        k = self._numbers_of(words, np.bincount(index, minlength=len(words)))[index]
+        counts = self.counts[k]
+        ends = np.cumsum(counts)
+        at = np.repeat(self.starts[k] - (ends - counts), counts)
+        at += np.arange(len(at))
+        ids = self.flat[at]
+        stop = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        out = np.full(len(ids) + len(sizes), end_id, np.int32)
+        for i, (a, b) in enumerate(zip(stop, stop[1:], strict=False)):
+            out[a + i : b + i] = ids[a:b]
+            yield out[a + i : b + i + 1]
+
     def count(self, texts: Sequence[str | None]) -> list[int]:
         """The number of ids of each text."""
         if not self.model.by_chunk:

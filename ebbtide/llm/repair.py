@@ -36,11 +36,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ebbtide.functions.ship import ship_package
-from ebbtide.llm.common import broadcast_file, map_arrow, text_of
+from ebbtide.llm.common import broadcast_file, map_arrow, slices, text_of
 from ebbtide.llm.pieces import ByteModel, table_for
 
 MAGIC = b"EBRP0001"
 SHARD_IDS = 1_000_000
+#: Text that is turned into ids at once.
+GROUP_BYTES = 4 << 20
 MAX_ROUNDS, PAIRS_A_ROUND, MIN_COUNT = 5, 2048, 16
 HASH_BITS = 18
 
@@ -58,7 +60,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, max_rounds: int = MA
         a, b = seq[:-1], seq[1:]
         # other factors each round, so that pairs which share a slot now part later
         x, y = np.uint32(2654435761 + 2 * turn), np.uint32(2246822519 + 6 * turn)
-        h = ((a * x) ^ (b * y)) >> np.uint32(32 - HASH_BITS)
+        h = (((a * x) ^ (b * y)) >> np.uint32(32 - HASH_BITS)).astype(np.intp)
         h[stop[:-1]] = slots - 1
         bound = np.bincount(h, minlength=slots)
         bound[-1] = 0
@@ -71,8 +73,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, max_rounds: int = MA
         own = (a == first_of[slot]) & (b == second_of[slot])
         at, slot = at[own], slot[own]
         counts = np.bincount(slot, minlength=slots)
-        order = np.argsort(-counts, kind="stable")[:pairs]
-        order = order[counts[order] >= min_count]
+        order = np.flatnonzero(counts >= min_count)
+        order = order[np.argsort(-counts[order], kind="stable")[:pairs]]
         if not len(order):
             break
         number = np.full(slots, -1, np.int64)
@@ -196,14 +198,12 @@ def write_ids(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 0, s
             cols = [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(names)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([raw], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, ["part", "shard", "n_docs", "n_ids", "payload"])
 
-        end = np.array([end_id], np.int32)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                piece = b.slice(at, 256)
-                for d, ids in zip(piece.column(0).to_pylist(), table.encode(piece.column(1).to_pylist()), strict=True):
+            for piece in slices(b, 1, GROUP_BYTES):
+                for d, ids in zip(piece.column(0).to_pylist(), table.encode_array(piece.column(1), end_id), strict=True):
                     names.append(d)
-                    held.append(np.concatenate([ids, end]))
-                    size += len(ids) + 1
+                    held.append(ids)
+                    size += len(ids)
                     if size >= shard_ids:
                         yield emit()
                         shard += 1

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -20,6 +21,11 @@ def tok():
     return Tokenizer.from_file(PATH)
 
 
+@pytest.fixture(scope="module")
+def table():
+    return ChunkTable(ByteModel(open(PATH, "rb").read()), max_chunks=60)
+
+
 def test_chunks_are_exact(tok):
     table = ChunkTable(ByteModel(open(PATH, "rb").read()), max_chunks=6)
     assert table.model.by_chunk
@@ -28,6 +34,33 @@ def test_chunks_are_exact(tok):
     assert [x.tolist() for x in table.encode(texts * 2)] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts * 2]
 
 
+PARTS = ["Word", "tail&&&", "a-b", "x_", "don't", "'ll", "##", "ÀÉ;", "日本", "½", "12", *[" "] * 9, "  ", ". ", ", ", ".\n", ",\n", "\n", "\n", "\t", "\x85", "\x1c", "\xa0", "́", "\x01", "<|endoftext|>"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(st.sampled_from(PARTS), max_size=30).map("".join)), max_size=12))
+def test_arrow_chunks_are_exact(tok, table, texts):
+    parts, sizes = table.model.split(pa.array(texts, pa.string()))
+    assert parts.to_pylist() == [c for t in texts for c in table.model.chunks(t or "")] and len(sizes) == len(texts)
+    got = [x.tolist() for x in table.encode_array(pa.array(texts, pa.string()), 0)]
+    assert got == [[*tok.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+
+
+def test_words_cost_no_python_each(tok, monkeypatch):
+    """Plain texts are split in Arrow, distinct words are looked up once a call, and new words go to the library hundreds at once, those behind a line end too."""
+    table = ChunkTable(ByteModel(open(PATH, "rb").read()))
+    words = [f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100]}" for i in range(1000)]
+    text = " ".join(words) + ".\n" + "\n".join(w + "9" for w in words)
+    calls, looked = [], []
+    library, numbers_of = ByteModel._ids, table._numbers_of
+    monkeypatch.setattr(ByteModel, "chunks", lambda t: pytest.fail("a plain text came through Python"))
+    monkeypatch.setattr(ByteModel, "_ids", staticmethod(lambda *a: calls.append(1) or library(*a)))
+    monkeypatch.setattr(table, "_numbers_of", lambda words, times: looked.append(len(words)) or numbers_of(words, times))
+    got = list(table.encode_array(pa.array([text] * 20), 0))
+    assert all(x.tolist() == [*tok.encode(text, add_special_tokens=False).ids, 0] for x in got)
+    assert len(calls) <= 6 and sum(looked) <= 2010
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 3), max_size=40), max_size=8), st.integers(2, 4))
 def test_round_trip_and_single_documents(docs, least):
