@@ -329,12 +329,16 @@ class ChunkTable:
         words = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), " ")[0].as_py().split(" ")
         if len(words) != len(distinct):  # some hold blanks
             words = distinct.to_pylist()
-        k = self._numbers_of(words, np.bincount(index, minlength=len(words)))[index]
-        counts = self.counts[k]
+        k = self._numbers_of(words, np.bincount(index, minlength=len(words)))
+        # the distinct words' ids behind one another: a small array to gather from
+        own = self.counts[k]
+        starts = np.cumsum(own) - own
+        near = self.flat[np.repeat(self.starts[k] - starts, own) + np.arange(own.sum())]
+        counts = own[index]
         ends = np.cumsum(counts)
-        at = np.repeat(self.starts[k] - (ends - counts), counts)
+        at = np.repeat(starts[index] - (ends - counts), counts)
         at += np.arange(len(at))
-        ids = self.flat[at]
+        ids = near[at]
         stop = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
         out = np.full(len(ids) + len(sizes), end_id, np.int32)
         for i, (a, b) in enumerate(zip(stop, stop[1:], strict=False)):

@@ -50,8 +50,8 @@ HASH_BITS = 18
 def compress(ids: np.ndarray, ends: np.ndarray, first: int, max_rounds: int = MAX_ROUNDS, pairs: int = PAIRS_A_ROUND, min_count: int = MIN_COUNT):
     """symbols, ends in symbols, left, right. ends: where each document ends in ids (the last one at len(ids))."""
     seq = ids.astype(np.uint32)  # a copy, changed in place
-    stop = np.zeros(len(seq), bool)  # the last id of a document starts no pair
-    stop[ends[ends > np.concatenate([[0], ends[:-1]])] - 1] = True
+    per_doc = np.diff(np.concatenate([[0], ends]))
+    last = np.asarray(ends)[per_doc > 0] - 1  # the last id of a document starts no pair
     left, right = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
     used, slots = 0, (1 << HASH_BITS) + 1
     for turn in range(max_rounds):
@@ -60,8 +60,11 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, max_rounds: int = MA
         a, b = seq[:-1], seq[1:]
         # other factors each round, so that pairs which share a slot now part later
         x, y = np.uint32(2654435761 + 2 * turn), np.uint32(2246822519 + 6 * turn)
-        h = (((a * x) ^ (b * y)) >> np.uint32(32 - HASH_BITS)).astype(np.intp)
-        h[stop[:-1]] = slots - 1
+        h = a * x
+        h ^= b * y
+        h >>= np.uint32(32 - HASH_BITS)
+        h = h.astype(np.intp)
+        h[last[last < len(h)]] = slots - 1
         bound = np.bincount(h, minlength=slots)
         bound[-1] = 0
         least = max(min_count, int(np.partition(bound, -2 * pairs)[-2 * pairs])) if slots > 4 * pairs else min_count
@@ -80,7 +83,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, max_rounds: int = MA
         number = np.full(slots, -1, np.int64)
         number[order] = np.arange(len(order))
         name = number[slot]
-        at, name = at[name >= 0], name[name >= 0]
+        own = np.flatnonzero(name >= 0)
+        at, name = at[own], name[own]
         # of overlapping pairs every other one, from the left
         fresh = np.concatenate([[True], np.diff(at) > 1])
         run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
@@ -94,14 +98,13 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, max_rounds: int = MA
         left.append(first_of[chosen])
         right.append(second_of[chosen])
         seq[at] = (first + used + name).astype(np.uint32)
-        stop[at] = stop[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, stop = seq[keep], stop[keep]
+        seq = seq[keep]
+        last = last - np.searchsorted(at, last)  # less what went up to there
         used += len(chosen)
-    per_doc = np.diff(np.concatenate([[0], ends]))
     sym_ends = np.zeros(len(ends), np.int64)
-    sym_ends[per_doc > 0] = np.flatnonzero(stop) + 1
+    sym_ends[per_doc > 0] = last + 1
     return seq, np.maximum.accumulate(sym_ends) if len(sym_ends) else sym_ends, np.concatenate(left), np.concatenate(right)
 
 
@@ -149,15 +152,16 @@ class Shard:
 
     def _expansions(self) -> None:
         """All expansions behind one another: ids stand for themselves."""
-        flat = np.empty(self.first + int(self.lengths.sum()), np.uint32)
-        flat[: self.first] = np.arange(self.first)
+        rules = np.stack([self.left, self.right], 1).ravel()
+        while (inner := np.flatnonzero(rules >= self.first)).size:  # all rules one level at a time; a round adds one level at most
+            r = rules[inner] - self.first
+            times = np.ones(len(rules), np.int64)
+            times[inner] = 2
+            rules = np.repeat(rules, times)
+            at = inner + np.arange(len(inner))
+            rules[at], rules[at + 1] = self.left[r], self.right[r]
         sizes = np.concatenate([np.ones(self.first, np.int64), self.lengths.astype(np.int64)])
-        starts = np.cumsum(sizes) - sizes
-        for r, (a, b) in enumerate(zip(self.left.tolist(), self.right.tolist(), strict=True)):
-            s, m = starts[self.first + r], sizes[a]
-            flat[s : s + m] = flat[starts[a] : starts[a] + m]
-            flat[s + m : s + sizes[self.first + r]] = flat[starts[b] : starts[b] + sizes[b]]
-        self._flat, self._starts, self._sizes = flat, starts, sizes
+        self._flat, self._starts, self._sizes = np.concatenate([np.arange(self.first, dtype=np.uint32), rules]), np.cumsum(sizes) - sizes, sizes
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         if self._flat is None:

@@ -82,6 +82,13 @@ def test_repeats_are_compressed():
     assert len(s) < len(ids) / 20 and len(left) <= 40
 
 
+def test_nested_rules_expand_whole():
+    shard = repair.Shard.__new__(repair.Shard)
+    shard.first, shard._flat = 4, None
+    shard.left, shard.right, shard.lengths = (np.array(x, np.uint32) for x in ([0, 4, 5, 3], [1, 4, 2, 6], [2, 4, 5, 6]))
+    assert shard.expand(np.array([7, 2, 4, 6])).tolist() == [3, 0, 1, 0, 1, 2, 2, 0, 1, 0, 1, 0, 1, 2]
+
+
 def expected(tok, rows):
     out, start = [], 0
     for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
